@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language_id, quality
+from .common import id_fold
 from .near_duplicates import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +57,22 @@ comp AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node)
 SELECT s.doc_id, s.n AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
 FROM sizes s JOIN comp c ON c.node = s.doc_id
 """
+
+
+@query
+def op2_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; fold 0 of 5 is held out."""
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.where(id_fold(F.col("doc_id"), 5) != 0))
+    out = quality.score(docs, model)
+    return out.select("doc_id", (id_fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query
+def op7_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; fold 1 of 3 is held out."""
+    docs = _table(spark, sf_dir, "documents")
+    profiles = language_id.train(docs.where(id_fold(F.col("doc_id"), 3) != 1))
+    out = language_id.predict(docs, profiles)
+    return out.select("doc_id", (id_fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
