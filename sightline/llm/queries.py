@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, quality
+from . import language_id, quality, sharding
 from .common import id_fold
 from .near_duplicates import near_duplicates
 
@@ -76,3 +76,10 @@ def op7_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame
     profiles = language_id.train(docs.where(id_fold(F.col("doc_id"), 3) != 1))
     out = language_id.predict(docs, profiles)
     return out.select("doc_id", (id_fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op3_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of near-equal bytes."""
+    out = sharding.shard(_table(spark, sf_dir, "documents"), 40)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
