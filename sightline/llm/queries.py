@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from . import language_id, quality, sharding
 from .common import id_fold
 from .near_duplicates import near_duplicates
+from .token_files import token_index
+from .tokens import tokenizer_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -83,3 +85,9 @@ def op3_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near-equal bytes."""
     out = sharding.shard(_table(spark, sf_dir, "documents"), 40)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
+
+
+@query
+def op4_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids, written as range-coded files and read back."""
+    return token_index(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), 2)
