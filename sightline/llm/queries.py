@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import language_id, quality, sharding
 from .common import id_fold
 from .near_duplicates import near_duplicates
+from .packing import pack
 from .token_files import token_index
 from .tokens import tokenizer_file
 
@@ -91,3 +92,9 @@ def op3_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids, written as range-coded files and read back."""
     return token_index(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), 2)
+
+
+@query
+def op6_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids in sequences of at most 2048."""
+    return pack(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), 0)
