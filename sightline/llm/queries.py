@@ -13,6 +13,7 @@ from .near_duplicates import near_duplicates
 from .packing import pack
 from .token_files import token_index
 from .tokens import tokenizer_file
+from .warc import archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -98,3 +99,22 @@ def op4_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids in sequences of at most 2048."""
     return pack(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), 0)
+
+
+@query
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records, repeated payloads as revisits, read back."""
+    out = archive(_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE["op8_warc_revisits"] = r"""
+WITH h AS (SELECT page_id, coalesce(html, '') AS p, sha1(coalesce(html, '')) AS x FROM pages),
+o AS (SELECT page_id, CAST(octet_length(encode(p)) AS BIGINT) AS payload_bytes, x, min(page_id) OVER (PARTITION BY x) AS first FROM h)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((CAST('0x' || substr(x, CAST(i // 4 AS INT) * 5 + 1, 5) AS INT) >> CAST(5 * (3 - i % 4) AS INT)) & 31 AS INT) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM o
+"""
