@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, quality, sharding
+from . import language_id, quality, sharding, vptree
 from .common import id_fold
 from .near_duplicates import near_duplicates
 from .packing import pack
@@ -118,3 +118,9 @@ SELECT page_id, payload_bytes,
   CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
 FROM o
 """
+
+
+@query
+def op5_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector among all others."""
+    return vptree.search(_table(spark, sf_dir, "embeddings"), k=20, every=20)
