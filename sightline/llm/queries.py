@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import language_id, quality, sharding, vptree
 from .common import id_fold
+from .decontaminate import contaminated
 from .near_duplicates import near_duplicates
 from .packing import pack
 from .token_files import token_index
@@ -124,3 +125,9 @@ FROM o
 def op5_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of every twentieth vector among all others."""
     return vptree.search(_table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+@query
+def op10_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in every document, within edits."""
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
