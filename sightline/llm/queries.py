@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, quality, sharding, vptree
+from . import language_id, lm, quality, sharding, vptree
 from .common import id_fold
 from .decontaminate import contaminated
 from .near_duplicates import near_duplicates
@@ -131,3 +131,9 @@ def op5_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item found in every document, within edits."""
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op9_gated_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-likelihood of every document; fold 1 of 5 is held out."""
+    return lm.score(_table(spark, sf_dir, "documents"), id_fold(F.col("doc_id"), 5) == 1)
