@@ -16,7 +16,7 @@ import numpy as np
 
 HIDDEN = 24
 CLASS_WORDS = 32
-WINDOW = 24
+WINDOW = 64
 MAX_LANES = 1024
 
 
