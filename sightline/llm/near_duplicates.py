@@ -12,9 +12,10 @@ Plan
 4. Sketch estimates discard hopeless pairs, full sets decide the others.
 5. Links become components by alternating star contraction.
 6. Buckets that still hold several components are searched whole: their
-   members meet in blocks of bounded size inside which numpy compares sketches
-   of classes from different components and emits survivors only.  No link
-   found by banding is lost and no bucket is capped.
+   members meet in blocks of bounded size inside which numpy compares classes
+   of different components, by sketch and then on full sets, and emits only
+   links that join components.  No link found by banding is lost and no bucket
+   is capped.
 """
 
 from __future__ import annotations
@@ -35,7 +36,8 @@ SHINGLE_WORDS = 5
 BANDS, ROWS = 32, 4
 SKETCH_BITS = 256
 NUM, DEN = 75, 100
-BLOCK = 1024
+#: Most classes and shingles of a bucket in one block.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
 
 _rng = np.random.Generator(np.random.PCG64(0x0DD))
 _A = (_rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint64) | U64(1)).astype(np.uint32)[:, None]
@@ -187,60 +189,91 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
     return cur.select(F.col("a").alias("node"), F.col("b").alias("root")).union(cur.select("b", "b").distinct())
 
 
-def _mixed_pairs(ws: Workspace, bands: DataFrame, classes: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs from different components that share a bucket and whose sketches agree."""
-    limit = sketch_limit()
+def _block_links(t: pa.Table, same: bool) -> list[tuple[bytes, bytes]]:
+    """Links that join components inside one block of a bucket, each verified on full sets.
+
+    Sketches choose whom a class is compared with; classes that a link has
+    joined meanwhile are not compared again, so links are at most as many as
+    rows, whatever the bucket's size.
+    """
+    fp = t.column("fp").to_pylist()
+    labels: dict[bytes, int] = {}
+    label = np.array([labels.setdefault(r, len(labels)) for r in t.column("root").to_pylist()])
+    if len(labels) < 2:
+        return []
+    n = t.column("n").to_numpy()
+    sk = np.stack([t.column(f"s{k}").to_numpy() for k in range(4)], 1)
+    left = t.column("left").to_numpy(zero_copy_only=False)
+    lists = t.column("shingles").combine_chunks()
+    flat = lists.flatten().to_numpy()
+    _, flat = np.unique(flat, return_inverse=True)
+    start = np.concatenate([[0], np.cumsum(n)])
+    mark = np.zeros(int(flat.max()) + 1, bool)
+    limit, out = sketch_limit(), []
+    targets = np.arange(len(fp)) if same else np.flatnonzero(~left)
+    for x in np.flatnonzero(left):
+        y = targets[label[targets] != label[x]]
+        if same:
+            y = y[y > x]
+        y = y[np.minimum(n[y], n[x]) * DEN >= np.maximum(n[y], n[x]) * NUM]
+        y = y[np.bitwise_count(sk[y] ^ sk[x]).sum(1) <= limit]
+        if not len(y):
+            continue
+        own = flat[start[x] : start[x + 1]]
+        mark[own] = True
+        if n[y].sum() * 4 > len(flat):
+            common = np.add.reduceat(mark[flat], start[:-1], dtype=np.int64)[y]
+        else:
+            common = np.array([np.count_nonzero(mark[flat[start[v] : start[v + 1]]]) for v in y])
+        mark[own] = False
+        for v in y[common * DEN >= (n[y] + n[x] - common) * NUM]:
+            if label[v] != label[x]:
+                label[label == label[v]] = label[x]
+                out.append((min(fp[x], fp[v]), max(fp[x], fp[v])))
+    return out
+
+
+def _mixed_links(ws: Workspace, bands: DataFrame, classes: DataFrame, comp: DataFrame, docs: DataFrame) -> DataFrame:
+    """Verified links between different components that share a bucket."""
     rows = bands.join(comp, bands.fp == comp.node, "left").select("bucket", "fp", F.coalesce("root", "fp").alias("root"))
-    mixed = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1 and size > 2").select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(mixed, "bucket").join(classes.select("fp", "n", "s0", "s1", "s2", "s3"), "fp")
-    mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).alias("left"), "fp", "root", "n", "s0", "s1", "s2", "s3")
+    rows = rows.join(classes.select("fp", "rep", "n", "s0", "s1", "s2", "s3"), "fp")
+    mixed = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1 and size > 2")
+    mixed = mixed.select("bucket", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    rows = ws.stage(rows.join(mixed, "bucket"), "mixed")
+    sets = _sets(docs.join(rows.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    # a bucket's members meet in blocks: member k of block b goes to all pairs of blocks with b
+    rows = rows.join(sets, "fp").withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).alias("left"), "fp", "root", "n", "s0", "s1", "s2", "s3", "shingles")
     rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
-    def compare(cols: dict[str, np.ndarray], i: int, j: int):
-        n = cols["n"]
-        sk = np.stack([cols[f"s{k}"] for k in range(4)], 1)
-        left = np.flatnonzero(cols["left"])
-        right = left if i == j else np.flatnonzero(~cols["left"])
-        for x in left:
-            y = right[cols["fp"][right] > cols["fp"][x]] if i == j else right
-            y = y[(cols["root"][y] != cols["root"][x]) & (np.minimum(n[y], n[x]) * DEN >= np.maximum(n[y], n[x]) * NUM)]
-            if len(y):
-                y = y[np.bitwise_count(sk[y] ^ sk[x]).sum(1) <= limit]
-                for t in y:
-                    yield tuple(sorted((cols["fp"][x], cols["fp"][t])))
-
     def run(batches):
-        names = ["fp", "root", "n", "s0", "s1", "s2", "s3", "left"]
-        held, key = [], None
+        held, key, out = [], None, []
 
-        def close():
-            t = pa.concat_tables([pa.Table.from_batches([b]) for b in held])
-            cols = {c: (np.array(t.column(c).to_pylist(), dtype=object) if c in ("fp", "root") else t.column(c).to_numpy()) for c in names}
-            return list(compare(cols, key[1], key[2])) if t.num_rows > 1 else []
+        def batch(pairs):
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
-        out = []
         for b in batches:
             if not b.num_rows:
                 continue
-            k = np.stack([b.column(b.schema.get_field_index(c)).to_numpy() for c in ("bucket", "i", "j")], 1)
+            k = np.stack([b.column(c).to_numpy() for c in range(3)], 1)
             cut = np.concatenate([[0], np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1, [len(k)]])
             for s, e in zip(cut[:-1], cut[1:], strict=True):
                 if key is not None and tuple(k[s]) != key:
-                    out += close()
+                    out += _block_links(pa.Table.from_batches(held), key[1] == key[2])
                     held = []
                 key = tuple(k[s])
                 held.append(b.slice(s, e - s))
             if len(out) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], names=["a", "b"])
+                yield batch(out)
                 out = []
         if held:
-            out += close()
+            out += _block_links(pa.Table.from_batches(held), key[1] == key[2])
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], names=["a", "b"])
+            yield batch(out)
 
-    return rows.mapInArrow(run, "a binary, b binary").distinct()
+    out = ws.stage(rows.mapInArrow(run, "a binary, b binary").distinct(), "more")
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -270,10 +303,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = shared.where("a != fp").select("a", F.col("fp").alias("b")).distinct()
     links = _verified(ws, pairs, classes, src)
     comp = ws.stage(components(ws, links), "components")
-    more = ws.stage(_mixed_pairs(ws, shared.select("bucket", "fp"), classes, comp), "mixed")
+    more = _mixed_links(ws, shared.select("bucket", "fp"), classes, comp, src)
     if more.head(1):
-        again = _verified(ws, more, classes, src)
-        comp = ws.stage(components(ws, links.union(again)), "components")
+        comp = ws.stage(components(ws, links.union(more)), "components")
     named = classes.select("fp", "rep").join(comp, classes.fp == comp.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     final = named.join(least, "root").select("fp", "component_id")
