@@ -202,7 +202,8 @@ def _block_links(t: pa.Table, same: bool) -> list[tuple[bytes, bytes]]:
     if len(labels) < 2:
         return []
     n = t.column("n").to_numpy()
-    sk = np.stack([t.column(f"s{k}").to_numpy() for k in range(4)], 1)
+    # unsigned: of negative numbers numpy counts the magnitude's bits
+    sk = np.stack([t.column(f"s{k}").to_numpy() for k in range(4)], 1).view(np.uint64)
     left = t.column("left").to_numpy(zero_copy_only=False)
     lists = t.column("shingles").combine_chunks()
     flat = lists.flatten().to_numpy()
