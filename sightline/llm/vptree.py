@@ -28,7 +28,7 @@ SHARD_ROWS = 10_000
 #: Most queries that meet one tree in one task, and that walk it together.
 QUERY_BLOCK = 16_384
 WALK = 1024
-FACTOR = 4.0
+FACTOR = 1.5
 #: Candidates kept beyond k before exact scoring, against rounding.
 SPARE = 12
 
