@@ -1,10 +1,9 @@
 """The pipeline's stages against plain rules on a small fixture."""
 
-import pytest
+import corpus_pipeline
 
-corpus_pipeline = pytest.importorskip("corpus_pipeline")
+from tests.llm.test_edge_cases import BASE, edited, text
 
-from tests.llm.test_edge_cases import BASE, edited, text  # noqa: E402
 
 
 def test_stages(spark, tmp_path):
