@@ -289,10 +289,10 @@ def iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("image_id", "det_idx", "other_idx", r5(geometry.iou(F.col("a"), F.col("b"))).alias("iou"), r5(geometry.iou_floored(F.col("a"), F.col("b"))).alias("iou_floored"))
 
 
-def _nms_sql(limit: str, fl: str = "", cap: int = 0) -> str:
+def _nms_sql(limit: str, fl: str = "", cap: int = 0, source: str = BOXES, result: str = "SELECT image_id, CAST(rank AS INT) AS rank, o.d AS det_idx FROM u") -> str:
     """A recursive walk down each image's boxes in score order with the kept ones in a list."""
     return f"""
-WITH RECURSIVE b AS (SELECT image_id, det_idx, score, class_id, x1, y1, x2, y2, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, det_idx) AS k FROM {BOXES}),
+WITH RECURSIVE b AS (SELECT image_id, det_idx, score, class_id, x1, y1, x2, y2, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, det_idx) AS k FROM {source}),
 w AS (
   SELECT image_id, k, [{{'d': det_idx, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'c': class_id}}] AS kept FROM b WHERE k = 1
   UNION ALL
@@ -301,7 +301,7 @@ w AS (
   FROM w JOIN b ON b.image_id = w.image_id AND b.k = w.k + 1),
 z AS (SELECT image_id, arg_max(kept, k) AS kept FROM w GROUP BY image_id),
 u AS (SELECT image_id, unnest(kept) AS o, unnest(range(0, len(kept))) AS rank FROM z)
-SELECT image_id, CAST(rank AS INT) AS rank, o.d AS det_idx FROM u
+{result}
 """
 
 
@@ -378,7 +378,15 @@ def layout_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("image_id", "row_idx", "class_id", "reading_order", "ord")
 
 
-@query()
+DECODED = f"""(SELECT image_id, row_idx AS det_idx, CAST(cls AS INT) AS class_id, score, order_key, {_at('x1', 3, 150)} AS x1, {_at('y1', 2, 120)} AS y1, {_at('x2', 3, 150)} AS x2, {_at('y2', 2, 120)} AS y2
+  FROM {RAW} WHERE CAST(cls AS INT) < 25 AND score >= 0.03::FLOAT AND {_at('x2', 3, 150)} - {_at('x1', 3, 150)} >= 1 AND {_at('y2', 2, 120)} - {_at('y1', 2, 120)} >= 1)"""
+
+
+@query(_nms_sql("CASE WHEN o.c = b.class_id THEN 0.6::FLOAT ELSE 0.98::FLOAT END", source=DECODED, result=f"""
+, s AS (SELECT d.*, row_number() OVER (PARTITION BY d.image_id ORDER BY d.score DESC, d.det_idx) - 1 AS ord FROM {DECODED} d JOIN u ON u.image_id = d.image_id AND u.o.d = d.det_idx WHERE NOT (d.class_id = 14 AND ((d.x2 - d.x1) * (d.y2 - d.y1))::FLOAT > 0.82::FLOAT * 150 * 120))
+SELECT image_id, det_idx AS row_idx, class_id, x1, y1, x2, y2, ord,
+  CAST(CASE WHEN class_id IN {layout.SKIP} THEN -1 ELSE sum(CASE WHEN class_id IN {layout.SKIP} THEN 0 ELSE 1 END) OVER (PARTITION BY image_id ORDER BY order_key, ord ROWS UNBOUNDED PRECEDING) END AS INT) AS reading_order FROM s WHERE ord < 100
+"""))
 def layout_post_process(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = layout.post_process(_layout_raw(spark, sf_dir), threshold=0.03)
     return out.select("image_id", "row_idx", "class_id", "x1", "y1", "x2", "y2", "reading_order", "ord")
