@@ -179,7 +179,7 @@ def run(m: Model, tokens: np.ndarray, starts: np.ndarray, lengths: np.ndarray, e
     wide, learn = len(plan), rate > 0
     opt = Adagrad(m, rate) if learn else None
     # place[i, t]: which token lane i meets at step t
-    place = np.full((wide, -(-longest // WINDOW) * WINDOW), -1, np.int64)
+    place = np.full((wide, -(-longest // WINDOW) * WINDOW), -1, np.int32)
     for i, lane in enumerate(plan):
         n = lengths[lane]
         flat = np.repeat(starts[lane] - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -190,7 +190,7 @@ def run(m: Model, tokens: np.ndarray, starts: np.ndarray, lengths: np.ndarray, e
     first[starts] = True
     h = np.zeros((wide, HIDDEN), np.float32)
     for lo in range(0, longest, WINDOW):
-        at = place[:, lo : lo + WINDOW].T
+        at = place[:, lo : lo + WINDOW].T.astype(np.int64)
         there = at >= 0
         target = np.where(there, tokens[at], end)
         fresh = there & first[at]

@@ -27,7 +27,7 @@ from .textscan import iter_words
 #: Most words with outputs of their own in the model.
 SHORTLIST = 1024
 #: Text bytes after which a chunk is closed; a longer document is a chunk of its own.
-CHUNK_BYTES = 40 << 20
+CHUNK_BYTES = 16 << 20
 RATE = 0.05
 END = np.uint64(0x9D39247E33776D41)
 #: Rows of averaged weights that reach the driver.
