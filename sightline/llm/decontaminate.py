@@ -105,6 +105,8 @@ class Items:
     ids: np.ndarray
     seqs: list[np.ndarray]
     pairs: np.ndarray  # sorted distinct word-pair hashes of all items
+    pair_at: np.ndarray  # where a pair's sizes begin in pair_sizes
+    pair_sizes: np.ndarray  # numbers of the sizes of the items that have the pair
     bloom: np.ndarray
     sizes: np.ndarray  # distinct lengths
     keys: np.ndarray  # sorted
@@ -122,10 +124,14 @@ class Items:
         keys = cgk_keys(w, np.arange(len(seqs)), length, reps)
         owner = np.repeat(np.arange(len(seqs)), reps)
         order = np.argsort(keys.ravel(), kind="stable")
-        pairs = np.unique(np.concatenate([gram_hashes(s, 2) for s in seqs]))
+        sizes = np.unique(length)
+        every = np.concatenate([gram_hashes(s, 2) for s in seqs])
+        pairs, which = np.unique(every, return_inverse=True)
+        both = np.unique(which * len(sizes) + np.searchsorted(sizes, np.repeat(length, length - 1)))
+        pair_at = np.searchsorted(both, np.arange(len(pairs) + 1) * len(sizes))
         bloom = np.zeros(1 << 22, bool)
         bloom[pairs >> U64(42)] = True
-        return cls(np.array(ids), seqs, pairs, bloom, np.unique(length), keys.ravel()[order], owner[order], reps, share)
+        return cls(np.array(ids), seqs, pairs, pair_at, both % len(sizes), bloom, sizes, keys.ravel()[order], owner[order], reps, share)
 
 
 def _windows(h: np.ndarray, where: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,13 +141,21 @@ def _windows(h: np.ndarray, where: np.ndarray, items: Items) -> tuple[np.ndarray
     hit = np.flatnonzero(items.bloom[g >> U64(42)]) if len(g) else none
     if not len(hit):
         return none, none, none
-    at = np.searchsorted(items.pairs, g[hit])
-    hit = hit[items.pairs[np.minimum(at, len(items.pairs) - 1)] == g[hit]]
-    text = np.searchsorted(where, hit, side="right") - 1
-    inside = hit + 1 < where[text + 1]
-    hit, text = hit[inside], text[inside]
+    at = np.minimum(np.searchsorted(items.pairs, g[hit]), len(items.pairs) - 1)
+    owner = np.searchsorted(where, hit, side="right") - 1
+    real = (items.pairs[at] == g[hit]) & (hit + 1 < where[owner + 1])
+    all_hit, all_text, at = hit[real], owner[real], at[real]
+    # a size class counts only pairs that its own items have
+    n = items.pair_at[at + 1] - items.pair_at[at]
+    row = np.repeat(np.arange(len(at)), n)
+    cls = items.pair_sizes[np.repeat(items.pair_at[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    order = np.argsort(cls, kind="stable")
+    row, cls = row[order], cls[order]
     found = []
-    for size in items.sizes.tolist():
+    for c in np.unique(cls).tolist():
+        size = int(items.sizes[c])
+        mine = row[np.searchsorted(cls, c) : np.searchsorted(cls, c, side="right")]
+        hit, text = all_hit[mine], all_text[mine]
         k = edits_allowed(size, items.share)
         need = max(1, size - 1 - 2 * k)
         if len(hit) < need:
@@ -152,8 +166,7 @@ def _windows(h: np.ndarray, where: np.ndarray, items: Items) -> tuple[np.ndarray
         if not len(i):
             continue
         starts = (hit[i][:, None] - np.arange(2 * k + 1)[None]).ravel()
-        owner = np.repeat(text[i], 2 * k + 1)
-        ok = starts >= where[owner]
+        ok = starts >= where[np.repeat(text[i], 2 * k + 1)]
         code = np.unique(starts[ok])
         found.append((np.searchsorted(where, code, side="right") - 1, code, np.full(len(code), size)))
     if not found:
