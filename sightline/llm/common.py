@@ -6,7 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +38,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        bounded_batches(spark)
         self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
         atexit.register(self._clean)
@@ -82,6 +83,34 @@ def conf(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most ``rows`` rows in this session: texts may be long, workers are small."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def tidy(run: Callable) -> Callable:
+    """A batch function that hands freed memory back to the system when its task ends.
+
+    Workers live on between tasks; what their allocators keep would add up
+    over the stages of a pipeline.
+    """
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            import pyarrow
+
+            pyarrow.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
+
+
 def id_fold(col: Column, folds: int) -> Column:
     """crc32 of the id written as text, modulo ``folds``; a null id is fold -1."""
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % folds, F.lit(-1))

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches, tidy
 from .textscan import U64, gram_hashes, iter_words, mix, words
 
 #: Edits allowed, as a share of the item's words, rounded down.
@@ -235,11 +236,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     are reported each.  Empty tables give an empty result.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = spark.createDataFrame([], "doc_id long, item_id long, start_word int, distance int")
     for ids, seqs in _blocks(benchmark, item_col, item_text_col, block_words):
         items = Items.make(ids, seqs, share, recall)
 
+        @tidy
         def run(batches, items=items):
             for b in batches:
                 found = []

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches, tidy
 from .textscan import U64, mix, slices, text_buffers
 
 DIMENSION = 1024
@@ -114,6 +115,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Pr
     The result is one vector a language.  Only those sums reach the driver.
     """
 
+    @tidy
     def run(batches):
         for b in batches:
             buf, offsets = text_buffers(b.column(0))
@@ -130,6 +132,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Pr
             lang = pa.array([x for x in names for _ in range(DIMENSION)], pa.string())
             yield pa.RecordBatch.from_arrays([lang, pa.array(np.tile(np.arange(DIMENSION, dtype=np.int32), len(names))), pa.array(total.ravel())], names=["lang", "dim", "value"])
 
+    bounded_batches(docs.sparkSession)
     src = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
     parts = src.mapInArrow(run, "lang string, dim int, value double").groupBy("lang", "dim").agg(F.sum("value").alias("value"))
     rows = parts.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("dim", "value"))).alias("v")).select("lang", "v.value").orderBy("lang").collect()
@@ -154,7 +157,9 @@ def predict(docs: DataFrame, profiles: Profiles, id_col: str | Column = "doc_id"
     null ids pass through.
     """
     prof = profiles
+    bounded_batches(docs.sparkSession)
 
+    @tidy
     def run(batches):
         for b in batches:
             buf, offsets = text_buffers(b.column(b.schema.get_field_index("__text")))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import Workspace, conf, partitions_for
+from .common import Workspace, conf, partitions_for, tidy
 from .textscan import iter_words
 
 #: Most words with outputs of their own in the model.
@@ -37,6 +37,7 @@ AVERAGES = 16
 def _chunks(docs: DataFrame) -> DataFrame:
     """chunk, docs, doc_ids, valid, held, lengths, tokens (local word numbers), words (hashes), counts (training)."""
 
+    @tidy
     def run(batches):
         part, n = TaskContext.get().partitionId(), 0
         ids, held, lengths, hashes, size = [], [], [], [], 0
@@ -74,6 +75,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
 def _vocabulary(chunks: DataFrame) -> DataFrame:
     """chunk, place, word, n: a row for every distinct word of every chunk."""
 
+    @tidy
     def run(batches):
         for b in batches:
             for chunk, words, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -88,6 +90,7 @@ def _vocabulary(chunks: DataFrame) -> DataFrame:
 def _totals(vocabulary: DataFrame) -> DataFrame:
     """chunk, totals: corpus counts of a chunk's words in the order of its word numbers."""
 
+    @tidy
     def run(batches):
         key, held = None, []
 
@@ -125,6 +128,7 @@ def _ids(row: dict, short: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
 def _average(chunks: DataFrame, start: gru.Model, short: np.ndarray, end: int, rate: float) -> gru.Model:
     """Every chunk's training documents move a copy of the model; the weighted mean of all copies."""
 
+    @tidy
     def train(batches):
         for b in batches:
             for row in b.to_pylist():
@@ -135,6 +139,7 @@ def _average(chunks: DataFrame, start: gru.Model, short: np.ndarray, end: int, r
                     gru.run(m, ids, at[mine], length[mine], end, rate)
                     yield pa.RecordBatch.from_arrays([pa.array([int(length[mine].sum())], pa.int64()), pa.array([m.flat().astype("<f4").tobytes()], pa.binary())], names=["n", "weights"])
 
+    @tidy
     def mean(batches):
         total, n = None, 0
         for b in batches:
@@ -164,7 +169,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     spark = docs.sparkSession
     ws = Workspace(spark, "lm")
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
-    with conf(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}):
+    with conf(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}):
         chunks = ws.stage(_chunks(src), "chunks")
     one = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1"}
     with conf(spark, one):
@@ -191,6 +196,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         with conf(spark, one):
             model = _average(chunks, start, short, end, rate)
 
+    @tidy
     def run(batches):
         log10 = np.log(10)
         for b in batches:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, tidy
 from .textscan import U64, iter_words, mix, shingle_set
 
 SHINGLE_WORDS = 5
@@ -104,6 +104,7 @@ def _fingerprint(s: np.ndarray) -> bytes | None:
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, fp (fingerprint; null for an empty set), bands, s0..s3."""
 
+    @tidy
     def run(batches):
         for ids, sets in _rows(batches, "doc_id", "text"):
             sig = np.stack([minhash(s) for s in sets])
@@ -121,6 +122,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
+    @tidy
     def run(batches):
         for _, sets in _rows(batches, "doc_id", "text"):
             off = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
@@ -248,6 +250,7 @@ def _mixed_links(ws: Workspace, bands: DataFrame, classes: DataFrame, comp: Data
     rows = rows.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).alias("left"), "fp", "root", "n", "s0", "s1", "s2", "s3", "shingles")
     rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
+    @tidy
     def run(batches):
         held, key, out = [], None, []
 

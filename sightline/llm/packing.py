@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, tidy
 from .tokens import PieceEncoder
 
 CAPACITY = 2048
@@ -96,6 +96,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
     """
     path, end = tokenizer, np.uint32(end_id)
 
+    @tidy
     def run(batches):
         enc = PieceEncoder.get(path, kind)
         for b in batches:

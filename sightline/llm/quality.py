@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches, tidy
 from .textscan import U64, mix, slices, text_buffers, words
 
 CELLS_BITS = 18
@@ -141,8 +142,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     picked = []
     for y in (0, 1):
         picked += [tuple(r) for r in lab.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_class).collect()]
+    bounded_batches(docs.sparkSession)
     ids = F.broadcast(docs.sparkSession.createDataFrame(picked, "doc_id long, y int"))
 
+    @tidy
     def run(batches):
         for b in batches:
             col = lambda c: b.column(b.schema.get_field_index(c))
@@ -165,7 +168,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     null ids pass through; an empty table gives an empty result.
     """
     m = model
+    bounded_batches(docs.sparkSession)
 
+    @tidy
     def run(batches):
         for b in batches:
             p = np.empty(b.num_rows)

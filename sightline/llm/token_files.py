@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import rans
-from .common import Workspace, conf, make_dir, partitions_for, read_bytes, write_bytes
+from .common import Workspace, conf, make_dir, partitions_for, read_bytes, tidy, write_bytes
 from .tokens import PieceEncoder
 
 #: Tokens after which a file is closed; a longer document still has one file.
@@ -23,6 +23,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int, kind: str = "bytes")
     """Segments of documents in id order: part, seg, docs, tokens, doc_ids, valid, lengths, ids, counts."""
     path, end = tokenizer, np.uint32(end_id)
 
+    @tidy
     def run(batches):
         enc, part, seg = PieceEncoder.get(path, kind), TaskContext.get().partitionId(), 0
         doc_ids, lengths, ids, total = [], [], [], 0
@@ -57,6 +58,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int, kind: str = "bytes")
 def _frequencies(segments: DataFrame) -> np.ndarray:
     """Counts of all ids; one row a distinct id reaches the driver, so the vocabulary bounds it."""
 
+    @tidy
     def run(batches):
         for b in batches:
             for raw in b.column(0).to_pylist():
@@ -90,6 +92,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, id_col: str
     folder = ws.path("files")
     make_dir(folder)
 
+    @tidy
     def run(batches):
         table = rans.Table(freq)
         for b in batches:
@@ -116,6 +119,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, id_col: str
 def read_token_files(manifest: DataFrame, freq: np.ndarray) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, decoded from the files."""
 
+    @tidy
     def run(batches):
         table = rans.Table(freq)
         for b in batches:

@@ -17,10 +17,10 @@ import pyarrow as pa
 
 from .textscan import IS_SPACE, U64, slices, span_hashes, text_buffers
 
-#: A worker's piece table has 2**22 places (64 MB) and starts anew when this many pieces or ids are in it.
-TABLE_BITS = 22
-TABLE_PIECES = 1_700_000
-TABLE_IDS = 12_000_000
+#: A worker's piece table has 2**21 places (32 MB) and starts anew when this many pieces or ids are in it.
+TABLE_BITS = 21
+TABLE_PIECES = 900_000
+TABLE_IDS = 6_000_000
 #: Texts with a piece longer than this are encoded whole, without the table.
 LONG_PIECE = 20_000
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, make_dir, partitions_for, read_bytes, write_bytes
+from .common import Workspace, make_dir, partitions_for, read_bytes, tidy, write_bytes
 
 ARCHIVE_BYTES = 64 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -103,6 +103,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, date: str
     met = rows.join(seen, rows.page_id.eqNullSafe(seen.pid) & (rows.sha1 == seen.psha), "left")
     met = met.select("page_id", "uri", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), F.octet_length("payload").cast("long").alias("size"), "sha1", "refers_to", "refers_uri")
 
+    @tidy
     def run(batches):
         made, n, size = [], 0, 0
 
@@ -134,6 +135,7 @@ def read_archives(paths: DataFrame) -> DataFrame:
     """
     schema = pa.schema([("page_id", pa.int64()), ("uri", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
+    @tidy
     def run(batches):
         for b in batches:
             for path in b.column(0).to_pylist():
