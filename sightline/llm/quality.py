@@ -8,6 +8,7 @@ then a logistic curve maps margins to probabilities under the true class mix.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -103,13 +104,14 @@ def fit_arrays(rows: list[np.ndarray], y01: np.ndarray, share_of_ones: float) ->
         if not c:
             count[s][r] += 1
     ratio = np.log(count[1.0] / count[1.0].sum()) - np.log(count[-1.0] / count[-1.0].sum())
-    values = []
-    for r in rows:
+
+    def scaled(r: np.ndarray) -> np.ndarray:
         v = ratio[r]
-        values.append(v / max(float(np.sqrt(v @ v)), 1e-9))
+        return (v / max(float(np.sqrt(v @ v)), 1e-9)).astype(np.float32)
+
     fit = np.flatnonzero(~cal)
-    w, bias = dual_coordinate_descent([rows[i] for i in fit], [values[i] for i in fit], y[fit], np.full(len(fit), 1.0))
-    margin = np.array([float(w[rows[i]] @ values[i]) + bias for i in np.flatnonzero(cal)])
+    w, bias = dual_coordinate_descent([rows[i] for i in fit], [scaled(rows[i]) for i in fit], y[fit], np.full(len(fit), 1.0))
+    margin = np.array([float(w[rows[i]] @ scaled(rows[i])) + bias for i in np.flatnonzero(cal)])
     t = y01[cal].astype(float)
     share = t.mean()
     weight = np.where(t == 1, share_of_ones / share, (1 - share_of_ones) / (1 - share))
@@ -154,9 +156,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(ids, "doc_id")
     got = src.mapInArrow(run, "doc_id long, y int, cells binary").collect()
-    got.sort(key=lambda r: (r.doc_id, r.y, bytes(r.cells)))
+    got.sort(key=lambda r: (r.doc_id, r.y, zlib.crc32(r.cells)))
     order = np.random.Generator(np.random.PCG64(5)).permutation(len(got))
-    rows = [np.frombuffer(bytes(got[i].cells), np.int32) for i in order]
+    rows = [np.frombuffer(got[i].cells, np.int32) for i in order]  # views: the sample is held once
     return fit_arrays(rows, np.array([got[i].y for i in order], int), mix_.get(1, 0) / total)
 
 
