@@ -8,6 +8,11 @@ small Hamming distance, and sampled places of the walk are LSH keys.
 Repetitions with fresh coins and places bring the wanted recall; every
 collision is decided by the exact edit distance.
 
+Each deletion or insertion lets two walks drift, so agreement falls as their
+number grows and no fixed count of repetitions holds for long items.  Keys
+serve items that allow at most CGK_EDITS edits; places of longer items are
+counted by item instead of by size and decided by exact distance, every one.
+
 Windows are embedded only where a match is possible at all: a passage within k
 edits of an item of L words keeps at least L - 1 - 2 k of its word pairs (the
 q-gram lemma), so places with fewer pairs known from items hold no match.
@@ -32,6 +37,8 @@ EDIT_SHARE = 0.2
 MIN_WORDS = 5
 #: Places sampled for a key; agreement of walks that keys are designed for; wanted recall.
 SAMPLES, AGREEMENT, RECALL = 3, 0.5, 0.999
+#: Most edits at which walks keep that agreement, be they deletions or insertions.
+CGK_EDITS = 2
 #: Words of items that one pass over the documents looks for.
 BLOCK_WORDS = 2_000_000
 _CHUNK = 128
@@ -101,6 +108,32 @@ def edit_distances(items: list[np.ndarray], windows: list[np.ndarray], limits: n
     return np.minimum(best, limits + 1)
 
 
+def nearest_starts(items: list[np.ndarray], spans: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Least edits turning each item into a run of its span, and the first place where such a run begins.
+
+    Both are read backwards, so that the last row has the least edits of every beginning.
+    """
+    n = len(items)
+    la, lb = np.array([len(x) for x in items]), np.array([len(x) for x in spans])
+    a, b = np.zeros((n, la.max()), np.uint64), np.ones((n, lb.max()), np.uint64)
+    for i in range(n):
+        a[i, : la[i]], b[i, : lb[i]] = items[i][::-1], spans[i][::-1]
+    col = np.arange(b.shape[1] + 1, dtype=np.int32)
+    row = np.zeros((n, len(col)), np.int32)  # a run may end anywhere
+    last = np.empty_like(row)
+    for i in range(a.shape[1]):
+        nxt = np.empty_like(row)
+        nxt[:, 0] = i + 1
+        nxt[:, 1:] = np.minimum(row[:, 1:] + 1, row[:, :-1] + (a[:, i : i + 1] != b))
+        row = np.minimum.accumulate(nxt - col, axis=1) + col
+        last[la == i + 1] = row[la == i + 1]
+    last[col[None] > lb[:, None]] = 1 << 20
+    best = last.min(1)
+    # the largest place backwards is the first forwards
+    back = last.shape[1] - 1 - (last == best[:, None])[:, ::-1].argmax(1)
+    return best, lb - back
+
+
 @dataclass
 class Items:
     ids: np.ndarray
@@ -108,6 +141,8 @@ class Items:
     pairs: np.ndarray  # sorted distinct word-pair hashes of all items
     pair_at: np.ndarray  # where a pair's sizes begin in pair_sizes
     pair_sizes: np.ndarray  # numbers of the sizes of the items that have the pair
+    item_at: np.ndarray  # where the items of a pair and size begin in pair_items
+    pair_items: np.ndarray
     bloom: np.ndarray
     sizes: np.ndarray  # distinct lengths
     keys: np.ndarray  # sorted
@@ -119,29 +154,43 @@ class Items:
     def make(cls, ids: list[int], seqs: list[np.ndarray], share: float, recall: float) -> Items:
         reps = repetitions(recall=recall)
         length = np.array([len(s) for s in seqs])
-        w = np.zeros((len(seqs), length.max()), np.uint64)
-        for i, s in enumerate(seqs):
-            w[i, : len(s)] = s
-        keys = cgk_keys(w, np.arange(len(seqs)), length, reps)
-        owner = np.repeat(np.arange(len(seqs)), reps)
+        few = np.array([i for i, n in enumerate(length.tolist()) if edits_allowed(n, share) <= CGK_EDITS], np.int64)
+        w = np.zeros((len(few), max(length[few], default=0)), np.uint64)
+        for i, s in enumerate(few.tolist()):
+            w[i, : length[s]] = seqs[s]
+        keys = cgk_keys(w, np.arange(len(few)), length[few], reps)
+        owner = np.repeat(few, reps)
         order = np.argsort(keys.ravel(), kind="stable")
         sizes = np.unique(length)
         every = np.concatenate([gram_hashes(s, 2) for s in seqs])
         pairs, which = np.unique(every, return_inverse=True)
-        both = np.unique(which * len(sizes) + np.searchsorted(sizes, np.repeat(length, length - 1)))
+        code = which * len(sizes) + np.searchsorted(sizes, np.repeat(length, length - 1))
+        holder = np.repeat(np.arange(len(seqs)), length - 1)
+        by = np.lexsort((holder, code))
+        code, holder = code[by], holder[by]
+        new = np.append(True, (code[1:] != code[:-1]) | (holder[1:] != holder[:-1]))
+        code, holder = code[new], holder[new]
+        both, item_at = np.unique(code, return_index=True)
         pair_at = np.searchsorted(both, np.arange(len(pairs) + 1) * len(sizes))
         bloom = np.zeros(1 << 22, bool)
         bloom[pairs >> U64(42)] = True
-        return cls(np.array(ids), seqs, pairs, pair_at, both % len(sizes), bloom, sizes, keys.ravel()[order], owner[order], reps, share)
+        return cls(np.array(ids), seqs, pairs, pair_at, both % len(sizes), np.append(item_at, len(code)), holder, bloom, sizes, keys.ravel()[order], owner[order], reps, share)
+
+
+def _runs(hit: np.ndarray, group: np.ndarray, need: int, span: int) -> np.ndarray:
+    """Where ``need`` hits of one group begin that lie within ``span`` words."""
+    i = np.arange(max(0, len(hit) - need + 1))
+    last = i + need - 1
+    return i[(group[i] == group[last]) & (hit[last] + 1 - hit[i] < span)]
 
 
-def _windows(h: np.ndarray, where: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first word, size) of windows that may hold an item."""
+def _windows(h: np.ndarray, where: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int, int]]]:
+    """(text, first word, size) of windows that may hold an item with few edits; of other items (text, item, first, last beginning)."""
     none = np.empty(0, np.int64)
     g = gram_hashes(h, 2)
     hit = np.flatnonzero(items.bloom[g >> U64(42)]) if len(g) else none
     if not len(hit):
-        return none, none, none
+        return none, none, none, []
     at = np.minimum(np.searchsorted(items.pairs, g[hit]), len(items.pairs) - 1)
     owner = np.searchsorted(where, hit, side="right") - 1
     real = (items.pairs[at] == g[hit]) & (hit + 1 < where[owner + 1])
@@ -149,36 +198,74 @@ def _windows(h: np.ndarray, where: np.ndarray, items: Items) -> tuple[np.ndarray
     # a size class counts only pairs that its own items have
     n = items.pair_at[at + 1] - items.pair_at[at]
     row = np.repeat(np.arange(len(at)), n)
-    cls = items.pair_sizes[np.repeat(items.pair_at[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    entry = np.repeat(items.pair_at[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    cls = items.pair_sizes[entry]
     order = np.argsort(cls, kind="stable")
-    row, cls = row[order], cls[order]
-    found = []
+    row, cls, entry = row[order], cls[order], entry[order]
+    found, whole = [], []
     for c in np.unique(cls).tolist():
         size = int(items.sizes[c])
-        mine = row[np.searchsorted(cls, c) : np.searchsorted(cls, c, side="right")]
-        hit, text = all_hit[mine], all_text[mine]
+        own = slice(np.searchsorted(cls, c), np.searchsorted(cls, c, side="right"))
+        hit, text = all_hit[row[own]], all_text[row[own]]
         k = edits_allowed(size, items.share)
         need = max(1, size - 1 - 2 * k)
-        if len(hit) < need:
-            continue
-        i = np.arange(len(hit) - need + 1)
-        last = i + need - 1
-        i = i[(text[i] == text[last]) & (hit[last] + 1 - hit[i] < size + k)]
+        i = _runs(hit, text, need, size + k)
         if not len(i):
             continue
+        if k > CGK_EDITS:
+            whole += _places(hit, text, entry[own], i, where, items, size, k, need)
+            continue
         starts = (hit[i][:, None] - np.arange(2 * k + 1)[None]).ravel()
         ok = starts >= where[np.repeat(text[i], 2 * k + 1)]
         code = np.unique(starts[ok])
         found.append((np.searchsorted(where, code, side="right") - 1, code, np.full(len(code), size)))
     if not found:
-        return none, none, none
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+        return none, none, none, whole
+    return *(np.concatenate(x) for x in zip(*found, strict=True)), whole
+
+
+def _places(hit: np.ndarray, text: np.ndarray, entry: np.ndarray, runs: np.ndarray, where: np.ndarray, items: Items, size: int, k: int, need: int) -> list[tuple[int, int, int, int]]:
+    """(text, item, first, last beginning) wherever pairs of one item suffice; only ``runs`` of the size's pairs are looked at."""
+    edge = np.zeros(len(hit) + 1, np.int64)
+    np.add.at(edge, runs, 1)
+    np.add.at(edge, runs + need, -1)
+    near = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+    hit, text, entry = hit[near], text[near], entry[near]
+    n = items.item_at[entry + 1] - items.item_at[entry]
+    row = np.repeat(np.arange(len(entry)), n)
+    item = items.pair_items[np.repeat(items.item_at[entry] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    order = np.argsort(item, kind="stable")
+    item, hit, text = item[order], hit[row[order]], text[row[order]]
+    group = item * len(where) + text
+    i = _runs(hit, group, need, size + k)
+    if not len(i):
+        return []
+    hit, text, item, group = hit[i], text[i], item[i], group[i]
+    # neighbouring beginnings are looked at together, up to a length
+    lo = np.maximum(hit - 2 * k, where[text])
+    cut = (group[1:] != group[:-1]) | (lo[1:] > hit[:-1] + 1) | (hit[1:] // (4 * size) != hit[:-1] // (4 * size))
+    first = np.append(0, np.flatnonzero(cut) + 1)
+    last = np.append(first[1:], len(hit)) - 1
+    return list(zip(text[first].tolist(), item[first].tolist(), lo[first].tolist(), hit[last].tolist(), strict=True))
 
 
 def _matches(h: np.ndarray, where: np.ndarray, items: Items) -> list[tuple[int, int, int, int]]:
     """(text, item, first word, distance), the nearest place of each item in each text."""
-    text, start, size = _windows(h, where, items)
+    text, start, size, whole = _windows(h, where, items)
     best: dict[tuple[int, int], tuple[int, int]] = {}
+    whole.sort(key=lambda x: len(items.seqs[x[1]]))
+    while whole:
+        part = whole[-256:]
+        part = part[-max(1, 400_000 // len(items.seqs[part[-1][1]])) :]  # longest items last
+        del whole[-len(part) :]
+        seqs = [items.seqs[o] for _, o, _, _ in part]
+        limit = [edits_allowed(len(x), items.share) for x in seqs]
+        stop = [min(y + len(x) + k, int(where[t + 1])) for (t, _, _, y), x, k in zip(part, seqs, limit, strict=True)]
+        dist, place = nearest_starts(seqs, [h[p[2] : e] for p, e in zip(part, stop, strict=True)])
+        for (t, o, x, _), d, s, k in zip(part, dist.tolist(), place.tolist(), limit, strict=True):
+            if d <= k:
+                value = (d, int(x + s - where[t]))
+                best[t, o] = min(best.get((t, o), value), value)
     for lo in range(0, len(text), 8192):
         t, s, z = text[lo : lo + 8192], start[lo : lo + 8192], size[lo : lo + 8192]
         first, row = np.unique(s, return_inverse=True)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sightline.llm import language_id, lm, packing, quality, rans, sharding, token_files, vptree, warc
-from sightline.llm.decontaminate import contaminated, edit_distances
+from sightline.llm.decontaminate import contaminated, edit_distances, nearest_starts
 from sightline.llm.near_duplicates import near_duplicates
 from sightline.llm.tokens import PieceEncoder, tokenizer_file
 
@@ -237,6 +237,39 @@ def test_decontamination(spark, empty):
     assert contaminated(empty, bench).count() == 0 and contaminated(docs, bench.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["deletions", "insertions", "contiguous"])
+def test_decontamination_recall_at_the_limit(spark, kind):
+    """Items of 14 to 500 words with as many insertions or deletions as allowed: all are found."""
+    r = np.random.default_rng(11)
+    items, rows = [], []
+    for n, copies in ((14, 40), (60, 40), (120, 20), (500, 3)):
+        for _ in range(copies):
+            i, k = len(items), n // 5
+            w = [f"i{i}x{j}" for j in range(n)]
+            items.append((i, " ".join(w)))
+            if kind == "deletions":
+                w = [w[j] for j in sorted(r.choice(n, n - k, replace=False))]
+            elif kind == "contiguous":
+                at = int(r.integers(1, n - k))
+                w = w[:at] + w[at + k :]
+            else:
+                for j in range(k):
+                    w.insert(int(r.integers(1, len(w))), f"n{j}")
+            rows.append((i, f"{text(i, 30)} {' '.join(w)} {text(50 + i, 30)}"))
+    found = contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id) for x in found} == {(i, i) for i, _ in items}
+
+
+def test_nearest_starts_against_brute_force():
+    r = np.random.default_rng(3)
+    items = [r.integers(0, 4, r.integers(1, 9)).astype(np.uint64) for _ in range(80)]
+    spans = [r.integers(0, 4, r.integers(1, 14)).astype(np.uint64) for _ in range(80)]
+    best, place = nearest_starts(items, spans)
+    for a, b, d, s in zip(items, spans, best.tolist(), place.tolist(), strict=True):
+        each = [int(edit_distances([a], [b[i:]], np.array([99]))[0]) for i in range(len(b))] + [len(a)]
+        assert d == min(each) and s == each.index(d)
+
+
 def test_edit_distance_against_brute_force():
     r = np.random.default_rng(2)
     for _ in range(60):
