@@ -1,7 +1,8 @@
 """A gated recurrent language model in numpy with a class-factored softmax.
 
 The model predicts the next token's class from the state, then the word inside
-the class.  Frequent words have ids 0 .. n-1 and are dealt to classes by rank;
+the class.  Frequent words have ids 0 .. n-1 and are dealt by rank to about
+sqrt(n) classes of as many words, so a token costs O(sqrt(n));
 every other word is id n, the tail, a class without a softmax of its own.
 Documents lie end to end in lanes; a lane's state runs on from window to window
 and is cleared where a document begins, so windows bound memory and the reach
@@ -11,11 +12,11 @@ of gradients but not what the state has seen.
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 
 HIDDEN = 24
-CLASS_WORDS = 32
 WINDOW = 64
 MAX_LANES = 1024
 
@@ -27,17 +28,18 @@ class Model:
 
     def __init__(self, params: dict[str, np.ndarray], words: int):
         self.p, self.words = params, words
-        self.classes = -(-words // CLASS_WORDS)
+        self.classes, _, self.width = params["W"].shape
 
     @classmethod
     def unigram(cls, probability: np.ndarray, seed: int = 9) -> Model:
         """Starts as the unigram model; ``probability`` of ids 0 .. n-1, then of the tail."""
         n = len(probability) - 1
-        k = -(-n // CLASS_WORDS)
+        width = math.isqrt(max(n, 1) - 1) + 1
+        k = -(-n // width)
         rng = np.random.Generator(np.random.PCG64(seed))
-        by_word = np.zeros(k * CLASS_WORDS)
+        by_word = np.zeros(k * width)
         by_word[:n] = probability[:n]
-        by_word = by_word.reshape(k, CLASS_WORDS)
+        by_word = by_word.reshape(k, width)
         mass = np.append(by_word.sum(1), probability[n])
         with np.errstate(divide="ignore"):
             w = np.where(by_word > 0, np.log(by_word), -60.0)
@@ -45,7 +47,7 @@ class Model:
         h = HIDDEN
         p = {
             "X": rng.normal(0, 0.3, (n + 1, 3 * h)), "U": rng.normal(0, 1 / np.sqrt(h), (h, 3 * h)),
-            "C": np.zeros((h, k + 1)), "c": c, "W": np.zeros((k, h, CLASS_WORDS)), "w": w,
+            "C": np.zeros((h, k + 1)), "c": c, "W": np.zeros((k, h, width)), "w": w,
         }
         return cls({a: v.astype(np.float32) for a, v in p.items()}, n)
 
@@ -88,10 +90,12 @@ class Adagrad:
         self.m, self.rate = model, rate
         self.sum = {a: np.full_like(v, 1e-3) for a, v in model.p.items()}
 
-    def step(self, grads: dict[str, np.ndarray]) -> None:
+    def step(self, grads: dict[str, np.ndarray], seen: np.ndarray) -> None:
+        """``seen``: the rows of X that the gradient of X is of."""
         for a, g in grads.items():
-            self.sum[a] += g * g
-            self.m.p[a] -= self.rate * g / np.sqrt(self.sum[a])
+            at = seen if a == "X" else slice(None)
+            self.sum[a][at] += g * g
+            self.m.p[a][at] -= self.rate * g / np.sqrt(self.sum[a][at])
 
 
 def _forward(m: Model, h: np.ndarray, prev: np.ndarray, fresh: np.ndarray, keep: bool):
@@ -115,7 +119,7 @@ def _forward(m: Model, h: np.ndarray, prev: np.ndarray, fresh: np.ndarray, keep:
 
 def _output(m: Model, s: np.ndarray, target: np.ndarray, weight: np.ndarray | None):
     """Log probability of each target; with ``weight`` also gradients of -sum(weight * log p)."""
-    cls = np.where(target < m.words, target // CLASS_WORDS, m.classes)
+    cls = np.where(target < m.words, target // m.width, m.classes)
     pc = _softmax(s @ m.p["C"] + m.p["c"])
     rows = np.arange(len(s))
     logp = np.log(np.maximum(pc[rows, cls], 1e-30)).astype(np.float64)
@@ -132,7 +136,7 @@ def _output(m: Model, s: np.ndarray, target: np.ndarray, weight: np.ndarray | No
         if not len(i):
             continue
         pw = _softmax(s[i] @ m.p["W"][k] + m.p["w"][k])
-        at, j = np.arange(len(i)), target[i] % CLASS_WORDS
+        at, j = np.arange(len(i)), target[i] % m.width
         logp[i] += np.log(np.maximum(pw[at, j], 1e-30))
         if weight is not None:
             d = pw * weight[i][:, None]
@@ -143,7 +147,7 @@ def _output(m: Model, s: np.ndarray, target: np.ndarray, weight: np.ndarray | No
     return logp, g, (ds if weight is not None else None)
 
 
-def _backward(m: Model, kept: list, ds: np.ndarray, prev: np.ndarray, fresh: np.ndarray, g: dict[str, np.ndarray]) -> None:
+def _backward(m: Model, kept: list, ds: np.ndarray, prev: np.ndarray, fresh: np.ndarray, g: dict[str, np.ndarray]) -> np.ndarray:
     U, n = m.p["U"], HIDDEN
     dx = np.empty((*prev.shape, 3 * n), np.float32)
     g["U"] = np.zeros_like(U)
@@ -162,8 +166,8 @@ def _backward(m: Model, kept: list, ds: np.ndarray, prev: np.ndarray, fresh: np.
     flat, tok = dx.reshape(-1, 3 * n), prev.ravel()
     order = np.argsort(tok, kind="stable")
     seen, first = np.unique(tok[order], return_index=True)
-    g["X"] = np.zeros_like(m.p["X"])
-    g["X"][seen] = np.add.reduceat(flat[order], first, axis=0)
+    g["X"] = np.add.reduceat(flat[order], first, axis=0)
+    return seen
 
 
 def run(m: Model, tokens: np.ndarray, starts: np.ndarray, lengths: np.ndarray, end: int, rate: float = 0.0) -> np.ndarray:
@@ -205,6 +209,5 @@ def run(m: Model, tokens: np.ndarray, starts: np.ndarray, lengths: np.ndarray, e
         if learn:
             back = np.zeros((WINDOW * wide, HIDDEN), np.float32)
             back[live] = ds
-            _backward(m, kept, back.reshape(WINDOW, wide, HIDDEN), prev, fresh, g)
-            opt.step(g)
+            opt.step(g, _backward(m, kept, back.reshape(WINDOW, wide, HIDDEN), prev, fresh, g))
     return total

@@ -8,8 +8,9 @@
    documents; the copies' average, weighted by tokens, is the model.
 4. Every chunk's documents are scored, state carried from end to end.
 
-The model predicts among the most frequent words and a tail class, inside which
-words keep their unigram odds, so document probabilities are proper.
+The model predicts among the most frequent words, a number that grows with the
+vocabulary, and a tail class, inside which words keep their unigram odds, so
+document probabilities are proper.
 """
 
 from __future__ import annotations
@@ -24,13 +25,13 @@ from . import gru
 from .common import Workspace, conf, partitions_for, tidy
 from .textscan import iter_words
 
-#: Most words with outputs of their own in the model.
-SHORTLIST = 1024
+#: Words with outputs of their own in the model: GROWTH * sqrt(distinct training words), SHORTLIST at least.
+SHORTLIST, GROWTH = 1024, 16
 #: Text bytes after which a chunk is closed; a longer document is a chunk of its own.
 CHUNK_BYTES = 16 << 20
 RATE = 0.05
 END = np.uint64(0x9D39247E33776D41)
-#: Rows of averaged weights that reach the driver.
+#: Tasks that average weights before the last one does.
 AVERAGES = 16
 
 
@@ -151,11 +152,19 @@ def _average(chunks: DataFrame, start: gru.Model, short: np.ndarray, end: int, r
 
     src = chunks.select("chunk", "held", "lengths", "tokens", "words").repartition(partitions_for(chunks.sparkSession), "chunk")
     each = src.mapInArrow(train, "n long, weights binary")
-    rows = each.mapInArrow(mean, "n long, weights binary").repartition(AVERAGES).mapInArrow(mean, "n long, weights binary").collect()
+    rows = each
+    for n in (None, AVERAGES, 1):  # models grow, so one row reaches the driver
+        rows = (rows.repartition(n) if n else rows).mapInArrow(mean, "n long, weights binary")
+    # what this shuffles is read once
+    with conf(chunks.sparkSession, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+        rows = rows.collect()
     if not rows:
         return start
-    n = sum(r.n for r in rows)
-    return start.like(sum(np.frombuffer(r.weights, "<f4").astype(np.float64) * (r.n / n) for r in rows))
+    return start.like(np.frombuffer(rows[0].weights, "<f4"))
+
+
+def shortlist_words(distinct: int, least: int = SHORTLIST) -> int:
+    return max(least, int(GROWTH * distinct**0.5))
 
 
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", shortlist: int = SHORTLIST, rate: float = RATE) -> DataFrame:
@@ -178,9 +187,9 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         vocabulary = ws.stage(vocabulary.select("chunk", "place", "total", F.when(F.col("first") & (F.col("total") > 0), F.col("word")).alias("word")), "vocabulary")
     known = vocabulary.where("word is not null")
     n_all, v_all = known.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count("*")).first()
-    top = [(r.word, r.total) for r in known.orderBy(F.desc("total"), "word").select("word", "total").limit(shortlist).collect()]
+    top = [(r.word, r.total) for r in known.orderBy(F.desc("total"), "word").select("word", "total").limit(shortlist_words(v_all, shortlist)).collect()]
     end_word = int(END.view(np.int64))
-    if top and end_word not in [w for w, _ in top]:
+    if top and end_word not in {w for w, _ in top}:
         top[-1] = (end_word, known.where(F.col("word") == end_word).first().total)
     denominator = n_all + 0.5 * (v_all + 1)
     p = np.array([(n + 0.5) / denominator for _, n in top])

@@ -223,6 +223,17 @@ def test_lm(spark, docs, empty):
     assert all(r.score == r.base_score == 0 for r in lm.score(docs.where("doc_id = 6"), F.lit(True)).collect())
 
 
+def test_lm_shortlist_grows(spark, monkeypatch):
+    """More than 1024 words have inputs and outputs of their own where the vocabulary is large."""
+    made = []
+    monkeypatch.setattr(lm.gru.Model, "unigram", classmethod(lambda cls, p, seed=9, make=lm.gru.Model.unigram.__func__: made.append(make(cls, p, seed)) or made[-1]))
+    rows = [(i, " ".join(f"v{(7 * i + j) % 9000}" for j in range(90))) for i in range(1300)]
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 0).collect()
+    assert made[0].words == lm.shortlist_words(9001) > 1024 and made[0].classes <= made[0].width < 1.1 * made[0].words**0.5
+    assert len(got) == 1300 and all(np.isfinite(r.score) for r in got)
+    assert lm.shortlist_words(4_000_000) == 2 * lm.shortlist_words(1_000_000)
+
+
 def test_decontamination(spark, empty):
     items = [(i, text(100 + i, 20 + i)) for i in range(12)]
     bench = spark.createDataFrame([*items, (50, None), (51, "too short"), (None, BASE)], "item_id long, text string").withColumn("doc_id", F.lit(0))
