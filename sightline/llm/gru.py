@@ -19,6 +19,8 @@ import numpy as np
 HIDDEN = 24
 WINDOW = 64
 MAX_LANES = 1024
+#: When the model learns: lanes at most, and steps a lane should have, so that updates grow with the tokens.
+LEARN_LANES, LEARN_STEPS = 256, 2048
 
 
 class Model:
@@ -63,10 +65,10 @@ class Model:
         return Model(out, self.words)
 
 
-def lanes(lengths: np.ndarray) -> tuple[list[list[int]], int]:
+def lanes(lengths: np.ndarray, most: int = MAX_LANES, steps: int = 256) -> tuple[list[list[int]], int]:
     """Documents (positive lengths) dealt to lanes of nearly equal length, and the longest."""
     total = int(lengths.sum())
-    count = int(min(MAX_LANES, max(1, -(-total // max(int(lengths.max()), 256)))))
+    count = int(min(most, max(1, -(-total // max(int(lengths.max()), steps)))))
     heap = [(0, i) for i in range(count)]
     out: list[list[int]] = [[] for _ in range(count)]
     for d in np.argsort(-lengths, kind="stable").tolist():
@@ -179,8 +181,9 @@ def run(m: Model, tokens: np.ndarray, starts: np.ndarray, lengths: np.ndarray, e
     total = np.zeros(len(lengths))
     if not len(lengths):
         return total
-    plan, longest = lanes(lengths)
-    wide, learn = len(plan), rate > 0
+    learn = rate > 0
+    plan, longest = lanes(lengths, LEARN_LANES, LEARN_STEPS) if learn else lanes(lengths)
+    wide = len(plan)
     opt = Adagrad(m, rate) if learn else None
     # place[i, t]: which token lane i meets at step t
     place = np.full((wide, -(-longest // WINDOW) * WINDOW), -1, np.int32)

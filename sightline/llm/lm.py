@@ -5,7 +5,8 @@
 2. Counts are summed over all chunks by word; every chunk gets back the counts
    of its own words.  What is shuffled is one row a chunk and distinct word.
 3. Every chunk trains a copy of the starting model on all its training
-   documents; the copies' average, weighted by tokens, is the model.
+   documents; the copies' average, weighted by tokens, is the model.  Further
+   rounds start from it; their number grows with that of the chunks.
 4. Every chunk's documents are scored, state carried from end to end.
 
 The model predicts among the most frequent words, a number that grows with the
@@ -167,7 +168,12 @@ def shortlist_words(distinct: int, least: int = SHORTLIST) -> int:
     return max(least, int(GROWTH * distinct**0.5))
 
 
-def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", shortlist: int = SHORTLIST, rate: float = RATE) -> DataFrame:
+def rounds_for(chunks: int) -> int:
+    """One round, and one more for each eightfold of chunks: averages of more copies move less a round."""
+    return 1 + max(0, chunks.bit_length() - 1) // 3
+
+
+def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", shortlist: int = SHORTLIST, rate: float = RATE, rounds: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
     Rows where ``held_out`` is true teach nothing; a null there means false.
@@ -201,9 +207,10 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     totals = ws.stage(_totals(vocabulary), "totals")
     model = None
     if top:
-        start = gru.Model.unigram(np.append(p, tail) / (p.sum() + tail))
+        model = gru.Model.unigram(np.append(p, tail) / (p.sum() + tail))
         with conf(spark, one):
-            model = _average(chunks, start, short, end, rate)
+            for i in range(rounds or rounds_for(chunks.count())):
+                model = _average(chunks, model, short, end, rate / (i + 1))
 
     @tidy
     def run(batches):

@@ -234,6 +234,20 @@ def test_lm_shortlist_grows(spark, monkeypatch):
     assert lm.shortlist_words(4_000_000) == 2 * lm.shortlist_words(1_000_000)
 
 
+def test_lm_learning_grows(monkeypatch):
+    """Updates grow with a chunk's tokens, rounds with the number of chunks."""
+    steps = []
+    monkeypatch.setattr(lm.gru.Adagrad, "step", lambda self, *_: steps.append(1))
+    made = []
+    for docs in (50, 2000):
+        length = np.full(docs, 200)
+        steps.clear()
+        lm.gru.run(lm.gru.Model.unigram(np.full(9, 1 / 9)), np.zeros(200 * docs, np.int64), np.cumsum(length) - length, length, 0, 0.1)
+        made.append(len(steps))
+    assert made[0] >= 30 and 200 * 2000 / made[1] <= 64 * 256
+    assert [lm.rounds_for(n) for n in (0, 1, 7, 8, 63, 64, 4096)] == [1, 1, 1, 2, 2, 3, 5]
+
+
 def test_decontamination(spark, empty):
     items = [(i, text(100 + i, 20 + i)) for i in range(12)]
     bench = spark.createDataFrame([*items, (50, None), (51, "too short"), (None, BASE)], "item_id long, text string").withColumn("doc_id", F.lit(0))
