@@ -80,11 +80,12 @@ def trigrams(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     cls, doc = cls[keep].astype(np.int64), doc[keep]
     if not len(cls):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    # a blank before every text, so that its first letters are word beginnings
+    # a blank before every text and after its last letter: one letter gives a trigram, whatever texts lie beside it
     start = np.concatenate([[0], np.flatnonzero(doc[1:] != doc[:-1]) + 1])
-    cls, doc = np.insert(cls, start, 0), np.insert(doc, start, doc[start])
-    if len(cls) < 3:
-        cls, doc = np.append(cls, 0), np.append(doc, doc[-1])
+    last = np.append(start[1:], len(cls)) - 1
+    last = last[cls[last] > 0]
+    at, whose = np.concatenate([last + 1, start]), np.concatenate([doc[last], doc[start]])  # ends go before beginnings
+    cls, doc = np.insert(cls, at, 0), np.insert(doc, at, whose)
     same = doc[2:] == doc[:-2]
     gram = (cls[:-2] << 14) | (cls[1:-1] << 7) | cls[2:]
     return doc[:-2][same], gram[same]

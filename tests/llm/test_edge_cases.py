@@ -90,6 +90,16 @@ def test_language(spark, docs, empty):
     assert {r.lang_pred for r in language_id.predict(docs, nothing).collect()} == {"und"}
 
 
+def test_language_of_one_letter_beside_other_texts():
+    texts = ["A", "1 b", "ab", "12", "c ", "dog"]
+    def grams(some):
+        raw = [t.encode() for t in some]
+        doc, gram = language_id.trigrams(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        return [gram[doc == i].tolist() for i in range(len(some))]
+    assert grams(texts) == [grams([t])[0] for t in texts]
+    assert [bool(g) for g in grams(texts)] == [True, True, True, False, True, True]
+
+
 def test_quality(spark, docs, empty):
     rows = [(i, " ".join(w + ("$$$" if i % 2 else "") for w in text(i, 60).split())) for i in range(400)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
