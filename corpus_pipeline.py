@@ -9,6 +9,7 @@ packing    the rest is packed into sequences of 2048 tokens
 A stage takes (spark, docs, sf_dir); all but the last return the columns that
 they were given.  Rows that repeat id and text are copies, one stays; rows that share an id and
 differ in text stand or fall together at the duplicates and benchmark stages.
+Rows without id are judged each by its text.
 Null texts leave at the first stage; an empty table passes through all of them.
 """
 
@@ -53,8 +54,13 @@ def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = contaminated(docs, _table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    items = _table(spark, sf_dir, "benchmark")
+    found = contaminated(docs.where("doc_id is not null"), items)
+    named = docs.where("doc_id is not null").join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    # rows without id are told apart by their text
+    other = _boxed(docs.where("doc_id is null")).withColumn("digest", F.xxhash64("text"))
+    found = contaminated(other.select("digest", "text"), items, id_col="digest")
+    return named.union(other.join(found.select(F.col("doc_id").alias("digest")).distinct(), "digest", "left_anti").select("row.*"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,3 +34,12 @@ def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_benchmark_rows_without_id(spark, tmp_path):
+    bench = text(500, 30)
+    spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean, dirty = text(700, 80), f"{text(600, 60)} {bench} {text(601, 60)}"
+    docs = spark.createDataFrame([(None, clean), (None, dirty), (1, clean), (2, dirty)], "doc_id long, text string")
+    got = corpus_pipeline.benchmark(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=repr) == [(1, clean), (None, clean)]
