@@ -12,17 +12,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _FALLBACK: list[str] = []
+#: Most rows of an Arrow batch while a table is staged; Spark itself bounds a batch's bytes (64 MB).
+ARROW_ROWS = 1000
+#: Tasks over which the rows of one key are dealt in a salted join.
+SALTS = 1024
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` wins.  Where it is unset (tests, local mode) one
-    temporary folder per process is used.
+    Where it is unset, a local master (tests) uses one temporary folder per
+    process; a cluster has no folder that is sure to be shared, so it raises.
     """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _FALLBACK:
         _FALLBACK.append("file://" + tempfile.mkdtemp(prefix="sightline-"))
     return _FALLBACK[0]
@@ -38,7 +44,6 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        bounded_batches(spark)
         self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
         atexit.register(self._clean)
@@ -47,10 +52,10 @@ class Workspace:
         self._n += 1
         return f"{self.root}/{self._n:03d}-{name}"
 
-    def stage(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-        """Write ``df`` once and return a reader of what was written."""
+    def stage(self, df: DataFrame, name: str, codec: str = "zstd", rows: int = ARROW_ROWS) -> DataFrame:
+        """Write ``df`` once and return a reader of what was written; ``rows`` bounds Arrow batches meanwhile."""
         path = self.path(name)
-        with conf(self.spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+        with conf(self.spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)}):
             df.write.option("compression", codec).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._staged_path = path
@@ -83,30 +88,25 @@ def conf(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most ``rows`` rows in this session: texts may be long, workers are small."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def release() -> None:
+    """Hand freed memory back to the system: workers live on between tasks, and what their allocators keep adds up."""
+    import ctypes
 
+    import pyarrow
 
-def tidy(run: Callable) -> Callable:
-    """A batch function that hands freed memory back to the system when its task ends.
+    pyarrow.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
-    Workers live on between tasks; what their allocators keep would add up
-    over the stages of a pipeline.
-    """
+
+def tidy(run: Callable) -> Callable:
+    """A batch function that releases memory when its task ends."""
 
     def wrapped(batches):
         try:
             yield from run(batches)
         finally:
-            import ctypes
-
-            import pyarrow
-
-            pyarrow.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            release()
 
     return wrapped
 
@@ -116,6 +116,18 @@ def id_fold(col: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % folds, F.lit(-1))
 
 
+def salted_join(big: DataFrame, small: DataFrame, key: str, salt: Column) -> DataFrame:
+    """Inner join of ``big`` with ``small``, which has one row a key, the rows of a hot key dealt over many tasks.
+
+    ``salt`` must be stored in or follow from the row.  Each (key, salt) pair
+    that occurs fetches the key's row once, at most SALTS rows a key; nothing is replicated for
+    keys with few rows, and no key has to be known as hot beforehand.
+    """
+    big = big.withColumn("__salt", F.pmod(salt, F.lit(SALTS)).cast("int"))
+    spread = big.select(key, "__salt").distinct().join(small, key)
+    return big.join(spread, [key, "__salt"]).drop("__salt")
+
+
 def partitions_for(spark: SparkSession, least: int = 1) -> int:
     """The session's shuffle partition count, which the cluster sizes to its data."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -9,6 +9,7 @@ the language whose centred profile has the largest cosine with it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, tidy
+from .common import release, tidy
 from .textscan import U64, mix, slices, text_buffers
 
 DIMENSION = 1024
@@ -111,9 +112,14 @@ class Profiles:
 
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Profiles:
-    """Bundle all rows' trigram vectors by language; rows without language are left out.
-
-    The result is one vector a language.  Only those sums reach the driver.
+    """Bundle all rows' trigram vectors by language; rows without text or language are left out.
+
+    The result is one vector of 4 KB a language, however many rows there are;
+    only those sums reach the driver, so the column should hold languages and
+    not free text.  Texts of any length are read in slices.  No other column is
+    read, whatever its name; repeated rows count each.  An empty table, and one
+    without a letter, gives profiles of no language, with which every text is
+    ``und``.
     """
 
     @tidy
@@ -133,7 +139,6 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Pr
             lang = pa.array([x for x in names for _ in range(DIMENSION)], pa.string())
             yield pa.RecordBatch.from_arrays([lang, pa.array(np.tile(np.arange(DIMENSION, dtype=np.int32), len(names))), pa.array(total.ravel())], names=["lang", "dim", "value"])
 
-    bounded_batches(docs.sparkSession)
     src = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
     parts = src.mapInArrow(run, "lang string, dim int, value double").groupBy("lang", "dim").agg(F.sum("value").alias("value"))
     rows = parts.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("dim", "value"))).alias("v")).select("lang", "v.value").orderBy("lang").collect()
@@ -158,32 +163,32 @@ def predict(docs: DataFrame, profiles: Profiles, id_col: str | Column = "doc_id"
     null ids pass through.
     """
     prof = profiles
-    bounded_batches(docs.sparkSession)
 
-    @tidy
-    def run(batches):
-        for b in batches:
-            buf, offsets = text_buffers(b.column(b.schema.get_field_index("__text")))
-            n = b.num_rows
-            best, score, known = np.zeros(n, np.int64), np.zeros(n), np.zeros(n, bool)
-            for lo, hi in slices(offsets):
-                a = int(offsets[lo])
-                doc, gram = trigrams(buf[a : int(offsets[hi])], offsets[lo : hi + 1] - a)
-                if not len(gram) or not prof.languages:
-                    continue
-                seen, cnt = _counted(doc, gram, hi - lo)
-                v = cnt @ gram_vectors(seen)
-                size = np.linalg.norm(v, axis=1, keepdims=True)
-                v = v / np.maximum(size, 1e-9) - prof.centre
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-                cos = np.round((v @ prof.vectors.T).astype(np.float64), 6)
-                best[lo:hi], score[lo:hi], known[lo:hi] = cos.argmax(1), np.clip((1 + cos.max(1)) / 2, 0, 1), size[:, 0] > 0
-            names = np.array([*prof.languages, UNDETERMINED], dtype=object)
-            pred = pa.array(names[np.where(known, best, len(prof.languages))], pa.string())
-            out = [b.column(b.schema.get_field_index(f.name)) for f in b.schema if f.name != "__text"]
-            yield pa.RecordBatch.from_arrays([*out, pred, pa.array(np.where(known, score, 0.0))], names=[*(f.name for f in b.schema if f.name != "__text"), "lang_pred", "score"])
+    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        names = np.array([*prof.languages, UNDETERMINED], dtype=object)
+        try:
+            for column in batches:
+                buf, offsets = text_buffers(column)
+                n = len(column)
+                best, score, known = np.zeros(n, np.int64), np.zeros(n), np.zeros(n, bool)
+                for lo, hi in slices(offsets):
+                    a = int(offsets[lo])
+                    doc, gram = trigrams(buf[a : int(offsets[hi])], offsets[lo : hi + 1] - a)
+                    if not len(gram) or not prof.languages:
+                        continue
+                    seen, cnt = _counted(doc, gram, hi - lo)
+                    v = cnt @ gram_vectors(seen)
+                    size = np.linalg.norm(v, axis=1, keepdims=True)
+                    v = v / np.maximum(size, 1e-9) - prof.centre
+                    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+                    cos = np.round((v @ prof.vectors.T).astype(np.float64), 6)
+                    best[lo:hi], score[lo:hi], known[lo:hi] = cos.argmax(1), np.clip((1 + cos.max(1)) / 2, 0, 1), size[:, 0] > 0
+                pred = pa.array(names[np.where(known, best, len(prof.languages))], pa.string())
+                yield pa.StructArray.from_arrays([pred, pa.array(np.where(known, score, 0.0))], names=["lang_pred", "score"])
+        finally:
+            release()
 
     cols = [F.col(id_col).cast("long").alias("doc_id"), *(F.col(c) for c in carry or ())]
-    src = docs.select(*cols, F.col(text_col).cast("string").alias("__text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "__text")
-    return src.mapInArrow(run, f"{kept}, lang_pred string, score double")
+    out = docs.select(*cols, run(F.col(text_col).cast("string")).alias("__out"))
+    return out.select(*out.columns[:-1], "__out.lang_pred", "__out.score")

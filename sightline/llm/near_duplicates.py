@@ -6,16 +6,19 @@ Plan
    band keys and an Odd sketch: every MinHash sample toggles one bit of a
    256-bit map, so the population count of two maps' XOR tells how many samples
    differ, and with it the similarity, most precisely where it is high.
-2. Documents with equal sets collapse to a class at once (a grouped minimum).
+2. Documents with equal sets collapse to a class at once (a grouped minimum),
+   whose smallest (id, text hash) stands for it.
 3. In every band bucket each class is paired with the bucket's smallest class
    only: linear in the bucket, however hot it is.
 4. Sketch estimates discard hopeless pairs, full sets decide the others.
-5. Links become components by alternating star contraction.
+5. Links become components by alternating star contraction.  Joins on nodes,
+   roots and fingerprints deal the rows of a hot key over many tasks.
 6. Buckets that still hold several components are searched whole: their
    members meet in blocks of bounded size inside which numpy compares classes
    of different components, by sketch and then on full sets, and emits only
    links that join components.  No link found by banding is lost and no bucket
-   is capped.
+   is capped.  A bucket of b blocks sends each member to b pairs of blocks, so
+   this step is quadratic in buckets with very many dissimilar members.
 """
 
 from __future__ import annotations
@@ -28,8 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Workspace, tidy
+from .common import SALTS, Workspace, salted_join, tidy
 from .textscan import U64, iter_words, mix, shingle_set
 
 SHINGLE_WORDS = 5
@@ -101,35 +105,40 @@ def _fingerprint(s: np.ndarray) -> bytes | None:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, fp (fingerprint; null for an empty set), bands, s0..s3."""
+def signatures(docs: DataFrame) -> DataFrame:
+    """key, n_shingles, fp (fingerprint; null for an empty set), bands, s0..s3, salt (a running number) of (key, text)."""
 
     @tidy
     def run(batches):
-        for ids, sets in _rows(batches, "doc_id", "text"):
+        count = 0
+        for ids, sets in _rows(batches, "key", "text"):
             sig = np.stack([minhash(s) for s in sets])
             keys = band_keys(sig).view(np.int64)
             sk = odd_sketch(sig).view(np.int64)
             full = np.array([len(s) > 0 for s in sets])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(sets) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
+            salt = pa.array(np.arange(count, count + len(sets)))
+            count += len(sets)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([_fingerprint(s) for s in sets], pa.binary()), lists, *(pa.array(sk[:, i].copy(), mask=~full) for i in range(4))],
-                names=["doc_id", "n_shingles", "fp", "bands", "s0", "s1", "s2", "s3"],
+                [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([_fingerprint(s) for s in sets], pa.binary()), lists, *(pa.array(sk[:, i].copy(), mask=~full) for i in range(4)), salt],
+                names=["key", "n_shingles", "fp", "bands", "s0", "s1", "s2", "s3", "salt"],
             )
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, n_shingles long, fp binary, bands array<long>, s0 long, s1 long, s2 long, s3 long")
+    kind = docs.schema["key"].dataType.simpleString()
+    return docs.mapInArrow(run, f"key {kind}, n_shingles long, fp binary, bands array<long>, s0 long, s1 long, s2 long, s3 long, salt long")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
+    """One row (fp, shingles) a distinct set, however often its text repeats."""
+
     @tidy
     def run(batches):
-        for _, sets in _rows(batches, "doc_id", "text"):
+        for _, sets in _rows(batches, "key", "text"):
             off = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(sets).view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array([_fingerprint(s) for s in sets], pa.binary()), lists], names=["fp", "shingles"])
 
-    return docs.mapInArrow(run, "fp binary, shingles array<long>")
+    return docs.mapInArrow(run, "fp binary, shingles array<long>").groupBy("fp").agg(F.first("shingles").alias("shingles"))
 
 
 def _xor_bits(a: str, b: str) -> Column:
@@ -147,8 +156,8 @@ def _verified(ws: Workspace, pairs: DataFrame, classes: DataFrame, docs: DataFra
     )
     near = ws.stage(near, "near")
     # whole texts of the classes concerned only, one text a class, cut to sets anew
-    wanted = near.select(F.col("arep").alias("doc_id")).union(near.select("brep")).distinct()
-    sets = ws.stage(_sets(docs.join(wanted, "doc_id", "left_semi")), "sets")
+    wanted = near.select(F.col("arep").alias("key")).union(near.select("brep")).distinct()
+    sets = ws.stage(_sets(docs.join(wanted, "key", "left_semi")), "sets")
     both = (
         near.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a")
         .join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
@@ -164,16 +173,19 @@ def _verified(ws: Workspace, pairs: DataFrame, classes: DataFrame, docs: DataFra
 def components(ws: Workspace, edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable, for every node of ``edges`` (a, b).
 
-    Alternating large-star and small-star steps.  Only grouped minima and
-    equi-joins: a node with any number of neighbours stays spread out.
+    Alternating large-star and small-star steps.  The rows of a node with any
+    number of neighbours are dealt over SALTS tasks: minima are taken a (node,
+    salt) pair first, and only these pairs meet at the node.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         e = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v")
         if large:
             e = e.union(e.select(F.col("v"), F.col("u")).toDF("u", "v"))
-        low = e.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        moved = e.join(low, "u")
+        e = e.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+        part = e.groupBy("u", "salt").agg(F.min("v").alias("m"))
+        low = part.groupBy("u").agg(F.min("m").alias("m")).select("u", F.least("u", "m").alias("m"))
+        moved = e.join(part.select("u", "salt").join(low, "u"), ["u", "salt"])
         if large:
             return moved.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         return moved.select(F.col("v").alias("a"), F.col("m").alias("b")).where("a != b").union(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
@@ -243,7 +255,7 @@ def _mixed_links(ws: Workspace, bands: DataFrame, classes: DataFrame, comp: Data
     mixed = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1 and size > 2")
     mixed = mixed.select("bucket", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     rows = ws.stage(rows.join(mixed, "bucket"), "mixed")
-    sets = _sets(docs.join(rows.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    sets = _sets(docs.join(rows.select(F.col("rep").alias("key")).distinct(), "key", "left_semi"))
     # a bucket's members meet in blocks: member k of block b goes to all pairs of blocks with b
     rows = rows.join(sets, "fp").withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -284,25 +296,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Component of every document under the 75 % shingle-set similarity.
 
     Returns doc_id, n_shingles, component_id, kept and fp (the set's
-    fingerprint), one row per input row; no other input column is read.
+    fingerprint), one row per input row; no other input column is read.  Ids
+    are numbers or structs, which are ordered by their fields.
 
     Null, empty and blank texts have an empty set (n_shingles 0, fp null), link
-    to nothing and are kept.  Texts under five words are one shingle.  A row
-    without id takes part in nothing: component_id null, kept true.  Repeated
-    rows are in the same component and equally kept.  An empty table gives an
-    empty result.  Ties do not arise: links are decided on exact counts and a
-    component is named by its smallest id.
+    to nothing and are kept.  Texts under five words are one shingle; texts of
+    any length are read whole.  A row without id takes part in nothing:
+    component_id null, kept true.  Repeated rows are in the same component and
+    equally kept, and cost no more links than one row; rows that share an id
+    and differ in text are told apart by their text, so each is linked for
+    itself, and both are kept if they are of one component and have its
+    smallest id.  An empty table gives an empty result.  Ties do not arise:
+    links are decided on exact counts and a component is named by its smallest
+    id.
     """
     ws = Workspace(docs.sparkSession, "near")
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    struct = isinstance(docs.schema[id_col].dataType, T.StructType)
+    ident = F.col(id_col) if struct else F.col(id_col).cast("long")
+    src = docs.select(ident.alias("id"), F.col(text_col).cast("string").alias("text"))
+    src = src.select(F.struct("id", F.xxhash64("text").alias("h")).alias("key"), "text")
     sig = ws.stage(signatures(src), "signatures")
-    live = sig.where("fp is not null and doc_id is not null")
-    picked = F.struct(F.col("n_shingles").alias("n"), "s0", "s1", "s2", "s3", "bands")
-    classes = live.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min_by(picked, "doc_id").alias("v"))
-    classes = ws.stage(classes.select("fp", "rep", "v.*"), "classes")
+    live = sig.where("fp is not null and key.id is not null")
+    picked = F.struct("key", F.col("n_shingles").alias("n"), "s0", "s1", "s2", "s3", "bands")
+    classes = live.groupBy("fp").agg(F.min_by(picked, "key").alias("v"))
+    classes = ws.stage(classes.select("fp", F.col("v.key").alias("rep"), *(F.col(f"v.{c}").alias(c) for c in ("n", "s0", "s1", "s2", "s3", "bands"))), "classes")
     bands = classes.select("fp", F.explode("bands").alias("bucket"))
     classes = classes.drop("bands")
     pivots = bands.groupBy("bucket").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a != z").select("bucket", "a")
+    # a hot bucket's rows stream through this merge join and AQE splits it: the pivot's side has one row
     shared = ws.stage(bands.join(pivots, "bucket"), "buckets")
     pairs = shared.where("a != fp").select("a", F.col("fp").alias("b")).distinct()
     links = _verified(ws, pairs, classes, src)
@@ -310,9 +331,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = _mixed_links(ws, shared.select("bucket", "fp"), classes, comp, src)
     if more.head(1):
         comp = ws.stage(components(ws, links.union(more)), "components")
-    named = classes.select("fp", "rep").join(comp, classes.fp == comp.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    named = ws.stage(classes.select("fp", F.col("rep.id").alias("rep")).join(comp, classes.fp == comp.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "named")
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    final = named.join(least, "root").select("fp", "component_id")
-    out = live.join(final, "fp").select("doc_id", "n_shingles", "component_id", "fp")
-    rest = sig.where("fp is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "fp")
+    final = salted_join(named, least, "root", F.xxhash64("fp")).select("fp", "component_id")
+    out = salted_join(live.select(F.col("key.id").alias("doc_id"), "n_shingles", "fp", "salt"), final, "fp", F.col("salt")).select("doc_id", "n_shingles", "component_id", "fp")
+    rest = sig.where("fp is null or key.id is null").select(F.col("key.id").alias("doc_id"), "n_shingles", F.col("key.id").alias("component_id"), "fp")
     return out.union(rest).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "fp")

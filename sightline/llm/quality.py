@@ -9,6 +9,7 @@ then a logistic curve maps margins to probabilities under the true class mix.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, tidy
+from .common import release, tidy
 from .textscan import U64, mix, slices, text_buffers, words
 
 CELLS_BITS = 18
@@ -71,19 +72,39 @@ class Model:
     shift: float
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray, epochs: int = 12, seed: int = 1) -> tuple[np.ndarray, float]:
-    """Weights and bias of the L2-regularised L1-hinge model; ``y`` is +1 or -1."""
+def encode_cells(cells: np.ndarray) -> bytes:
+    """A set of cells as a list of numbers or, where that is smaller, as a bitmap: 32 KB at most."""
+    if 4 * len(cells) < CELLS // 8:
+        return cells.astype("<i4").tobytes()
+    flags = np.zeros(CELLS, np.uint8)
+    flags[cells] = 1
+    return np.packbits(flags).tobytes()
+
+
+def decode_cells(raw: bytes) -> np.ndarray:
+    if len(raw) < CELLS // 8:
+        return np.frombuffer(raw, "<i4")
+    return np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8)))
+
+
+def dual_coordinate_descent(rows: list[bytes], scale: Callable[[np.ndarray], np.ndarray], y: np.ndarray, cost: np.ndarray, epochs: int = 12, seed: int = 1) -> tuple[np.ndarray, float]:
+    """Weights and bias of the L2-regularised L1-hinge model; ``y`` is +1 or -1, ``scale`` gives the values of a text's cells."""
     w, bias, alpha = np.zeros(CELLS), 0.0, np.zeros(len(rows))
-    norm = np.array([float(v @ v) + 1.0 for v in values])
+    norm = np.empty(len(rows))
+    for i, raw in enumerate(rows):
+        v = scale(decode_cells(raw))
+        norm[i] = float(v @ v) + 1.0
     rng = np.random.Generator(np.random.PCG64(seed))
     for _ in range(epochs):
         worst = 0.0
         for i in rng.permutation(len(rows)):
-            grad = y[i] * (float(w[rows[i]] @ values[i]) + bias) - 1.0
+            r = decode_cells(rows[i])
+            v = scale(r)
+            grad = y[i] * (float(w[r] @ v) + bias) - 1.0
             new = min(max(alpha[i] - grad / norm[i], 0.0), cost[i])
             step = (new - alpha[i]) * y[i]
             if step:
-                w[rows[i]] += step * values[i]
+                w[r] += step * v
                 bias += step
                 alpha[i] = new
                 worst = max(worst, abs(step))
@@ -92,8 +113,8 @@ def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y:
     return w, bias
 
 
-def fit_arrays(rows: list[np.ndarray], y01: np.ndarray, share_of_ones: float) -> Model:
-    """Fit on texts' cells; every fifth text only sets the logistic curve."""
+def fit_arrays(rows: list[bytes], y01: np.ndarray, share_of_ones: float) -> Model:
+    """Fit on texts' encoded cells; every fifth text only sets the logistic curve."""
     y = np.where(y01 == 1, 1.0, -1.0)
     cal = np.arange(len(rows)) % 5 == 0
     if len(rows) < 20 or len(set(y[~cal])) < 2 or len(set(y[cal])) < 2:
@@ -102,7 +123,7 @@ def fit_arrays(rows: list[np.ndarray], y01: np.ndarray, share_of_ones: float) ->
     count = {s: np.ones(CELLS) for s in (1.0, -1.0)}
     for r, s, c in zip(rows, y, cal, strict=True):
         if not c:
-            count[s][r] += 1
+            count[s][decode_cells(r)] += 1
     ratio = np.log(count[1.0] / count[1.0].sum()) - np.log(count[-1.0] / count[-1.0].sum())
 
     def scaled(r: np.ndarray) -> np.ndarray:
@@ -110,8 +131,8 @@ def fit_arrays(rows: list[np.ndarray], y01: np.ndarray, share_of_ones: float) ->
         return (v / max(float(np.sqrt(v @ v)), 1e-9)).astype(np.float32)
 
     fit = np.flatnonzero(~cal)
-    w, bias = dual_coordinate_descent([rows[i] for i in fit], [scaled(rows[i]) for i in fit], y[fit], np.full(len(fit), 1.0))
-    margin = np.array([float(w[rows[i]] @ scaled(rows[i])) + bias for i in np.flatnonzero(cal)])
+    w, bias = dual_coordinate_descent([rows[i] for i in fit], scaled, y[fit], np.full(len(fit), 1.0))
+    margin = np.array([float(w[r] @ scaled(r)) + bias for r in (decode_cells(rows[i]) for i in np.flatnonzero(cal))])
     t = y01[cal].astype(float)
     share = t.mean()
     weight = np.where(t == 1, share_of_ones / share, (1 - share_of_ones) / (1 - share))
@@ -133,7 +154,13 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
 
     The sample is chosen by a hash of the id, so it is the same on every run;
     it is bounded, hence the broadcast of its ids; texts are never shuffled.
-    Label rows with null id or label are left out.
+    Whole texts of any length give at most CELLS features, so at most 32 KB
+    each reach the driver.  Of rows that share a sampled id one text teaches,
+    that with the smallest digest.  Label rows with null id or label are left
+    out, an id with both labels counts as 1; document rows without id teach
+    nothing; null and empty texts have no feature.  Other columns are not
+    read.  Empty tables, and fewer than 20 texts or one class, give a model
+    that scores every text by the share of ones.
     """
     lab = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     lab = lab.groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -144,7 +171,6 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     picked = []
     for y in (0, 1):
         picked += [tuple(r) for r in lab.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_class).collect()]
-    bounded_batches(docs.sparkSession)
     ids = F.broadcast(docs.sparkSession.createDataFrame(picked, "doc_id long, y int"))
 
     @tidy
@@ -152,14 +178,16 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
         for b in batches:
             col = lambda c: b.column(b.schema.get_field_index(c))
             for lo, hi, cells in _iter_cells(col("text")):
-                yield pa.RecordBatch.from_arrays([col("doc_id").slice(lo, hi - lo), col("y").slice(lo, hi - lo), pa.array([c.tobytes() for c in cells], pa.binary())], names=["doc_id", "y", "cells"])
+                raw = [encode_cells(c) for c in cells]
+                digest = [zlib.crc32(c) for c in raw]
+                yield pa.RecordBatch.from_arrays([col("doc_id").slice(lo, hi - lo), col("y").slice(lo, hi - lo), pa.array(raw, pa.binary()), pa.array(digest, pa.int64())], names=["doc_id", "y", "cells", "digest"])
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(ids, "doc_id")
-    got = src.mapInArrow(run, "doc_id long, y int, cells binary").collect()
-    got.sort(key=lambda r: (r.doc_id, r.y, zlib.crc32(r.cells)))
+    each = src.mapInArrow(run, "doc_id long, y int, cells binary, digest long")
+    got = each.groupBy("doc_id", "y").agg(F.min(F.struct("digest", "cells")).alias("v")).select("doc_id", "y", "v.cells").collect()
+    got.sort(key=lambda r: r.doc_id)
     order = np.random.Generator(np.random.PCG64(5)).permutation(len(got))
-    rows = [np.frombuffer(got[i].cells, np.int32) for i in order]  # views: the sample is held once
-    return fit_arrays(rows, np.array([got[i].y for i in order], int), mix_.get(1, 0) / total)
+    return fit_arrays([got[i].cells for i in order], np.array([got[i].y for i in order], int), mix_.get(1, 0) / total)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -170,20 +198,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     null ids pass through; an empty table gives an empty result.
     """
     m = model
-    bounded_batches(docs.sparkSession)
 
-    @tidy
-    def run(batches):
-        for b in batches:
-            p = np.empty(b.num_rows)
-            for lo, hi, cells in _iter_cells(b.column(b.schema.get_field_index("__text"))):
-                for i, c in enumerate(cells, lo):
-                    size = float(np.sqrt(m.ratio2[c].sum(dtype=np.float64))) or 1.0
-                    p[i] = float(m.weights[c].sum(dtype=np.float64)) / size + m.bias
-            p = 1 / (1 + np.exp(-np.clip(m.slope * p + m.shift, -30, 30)))
-            keep = [f.name for f in b.schema if f.name != "__text"]
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), pa.array(p)], names=[*keep, "score"])
-
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), *(F.col(c) for c in carry or ()), F.col(text_col).cast("string").alias("__text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "__text")
-    return src.mapInArrow(run, f"{kept}, score double")
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for column in batches:
+                p = np.empty(len(column))
+                for lo, _, cells in _iter_cells(column):
+                    for i, c in enumerate(cells, lo):
+                        size = float(np.sqrt(m.ratio2[c].sum(dtype=np.float64))) or 1.0
+                        p[i] = float(m.weights[c].sum(dtype=np.float64)) / size + m.bias
+                yield pa.array(1 / (1 + np.exp(-np.clip(m.slope * p + m.shift, -30, 30))))
+        finally:
+            release()
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), *(F.col(c) for c in carry or ()), run(F.col(text_col).cast("string")).alias("score"))
