@@ -27,14 +27,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bounded_batches, tidy
+from .common import tidy
 from .textscan import U64, gram_hashes, iter_words, mix, words
 
 #: Edits allowed, as a share of the item's words, rounded down.
 EDIT_SHARE = 0.2
-#: Items of fewer words are too common to tell anything and take no part.
+#: Items of fewer words are too common to tell anything and take no part by default.
 MIN_WORDS = 5
+#: Items of more words are compared one at a time, with bit vectors instead of a table.
+BIT_WORDS = 256
 #: Places sampled for a key; agreement of walks that keys are designed for; wanted recall.
 SAMPLES, AGREEMENT, RECALL = 3, 0.5, 0.999
 #: Most edits at which walks keep that agreement, be they deletions or insertions.
@@ -134,6 +137,33 @@ def nearest_starts(items: list[np.ndarray], spans: list[np.ndarray]) -> tuple[np
     return best, lb - back
 
 
+def nearest_start_bits(item: np.ndarray, span: np.ndarray) -> tuple[int, int]:
+    """What :func:`nearest_starts` gives for one pair, by bit-parallel columns (Myers): memory is one bit an item word.
+
+    A column of the table is two integers, the places where it rises and falls
+    by one; both texts are read backwards, so the last entry of a column is the
+    distance to a run that begins there.
+    """
+    m = len(item)
+    has: dict[int, int] = {}
+    for i, x in enumerate(item[::-1].tolist()):
+        has[x] = has.get(x, 0) | 1 << i
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    up, down, cost = full, 0, m
+    best, place = m, len(span)
+    for j, x in enumerate(span[::-1].tolist(), 1):
+        eq = has.get(x, 0)
+        flat = (((eq & up) + up) ^ up) | eq | down
+        rise, fall = down | (full & ~(flat | up)), up & flat
+        cost += bool(rise & top) - bool(fall & top)
+        rise, fall = (rise << 1) & full, (fall << 1) & full
+        same = eq | down
+        up, down = fall | (full & ~(same | rise)), rise & same
+        if cost <= best:  # of equal ones the last backwards is the first forwards
+            best, place = cost, len(span) - j
+    return best, place
+
+
 @dataclass
 class Items:
     ids: np.ndarray
@@ -255,13 +285,16 @@ def _matches(h: np.ndarray, where: np.ndarray, items: Items) -> list[tuple[int,
     best: dict[tuple[int, int], tuple[int, int]] = {}
     whole.sort(key=lambda x: len(items.seqs[x[1]]))
     while whole:
-        part = whole[-256:]
-        part = part[-max(1, 400_000 // len(items.seqs[part[-1][1]])) :]  # longest items last
+        part = whole[-256:]  # longest items last
         del whole[-len(part) :]
         seqs = [items.seqs[o] for _, o, _, _ in part]
         limit = [edits_allowed(len(x), items.share) for x in seqs]
         stop = [min(y + len(x) + k, int(where[t + 1])) for (t, _, _, y), x, k in zip(part, seqs, limit, strict=True)]
-        dist, place = nearest_starts(seqs, [h[p[2] : e] for p, e in zip(part, stop, strict=True)])
+        spans = [h[p[2] : e] for p, e in zip(part, stop, strict=True)]
+        if len(seqs[-1]) > BIT_WORDS:
+            dist, place = (np.array(x) for x in zip(*map(nearest_start_bits, seqs, spans), strict=True))
+        else:
+            dist, place = nearest_starts(seqs, spans)
         for (t, o, x, _), d, s, k in zip(part, dist.tolist(), place.tolist(), limit, strict=True):
             if d <= k:
                 value = (d, int(x + s - where[t]))
@@ -293,13 +326,17 @@ def _matches(h: np.ndarray, where: np.ndarray, items: Items) -> list[tuple[int,
     return [(t, o, s, d) for (t, o), (d, s) in sorted(best.items())]
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int):
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int, least: int):
+    """Items in blocks of about ``limit`` words; a longer item is a block of its own."""
     ids, seqs, total = [], [], 0
     for r in benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null").orderBy("i", "t").toLocalIterator():
         raw = np.frombuffer(r.t.encode(), np.uint8)
         h = words(raw, np.array([0, len(raw)]))[0]
-        if len(h) < MIN_WORDS:
+        if len(h) < max(least, 2):
             continue
+        if total and total + len(h) > limit:
+            yield ids, seqs
+            ids, seqs, total = [], [], 0
         ids.append(r.i)
         seqs.append(h)
         total += len(h)
@@ -310,23 +347,28 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int):
         yield ids, seqs
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", share: float = EDIT_SHARE, recall: float = RECALL, block_words: int = BLOCK_WORDS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", share: float = EDIT_SHARE, recall: float = RECALL, block_words: int = BLOCK_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, item_id, start_word, distance: each benchmark item found in each document.
 
     A match is a run of document words within floor(share * words) word edits
     of a whole item; A-Z are lower-cased, words end at white space.  One row a
     document row and item: the place with fewest edits, of these the first.
     Items are read in blocks of bounded size, one pass over the documents each,
-    so no broadcast grows with the benchmark.  Null and empty texts match
-    nothing; items of under 5 words, and rows without item id or text, take no
-    part; document rows without id are reported with a null id; repeated rows
-    are reported each.  Empty tables give an empty result.
+    so no broadcast grows with the benchmark.  Document ids are numbers or
+    structs.  Null and empty texts match nothing; documents and items of any
+    length are read whole, and a long item costs memory in proportion to its
+    words only; items of under ``min_words`` words (2 at least, a pair of words
+    being what is looked up), and rows without item id or text, take no part;
+    document rows without id are reported with a null id; repeated rows are
+    reported each.  Other columns are not read.  Empty tables give an empty
+    result.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = spark.createDataFrame([], "doc_id long, item_id long, start_word int, distance int")
-    for ids, seqs in _blocks(benchmark, item_col, item_text_col, block_words):
+    struct = isinstance(docs.schema[id_col].dataType, T.StructType)
+    src = docs.select((F.col(id_col) if struct else F.col(id_col).cast("long")).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    schema = f"doc_id {src.schema['doc_id'].dataType.simpleString()}, item_id long, start_word int, distance int"
+    out = spark.createDataFrame([], schema)
+    for ids, seqs in _blocks(benchmark, item_col, item_text_col, block_words, min_words):
         items = Items.make(ids, seqs, share, recall)
 
         @tidy
@@ -339,5 +381,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     rows = b.column(0).take(pa.array([f[0] for f in found]))
                     yield pa.RecordBatch.from_arrays([rows, pa.array(items.ids[[f[1] for f in found]]), pa.array([f[2] for f in found], pa.int32()), pa.array([f[3] for f in found], pa.int32())], names=["doc_id", "item_id", "start_word", "distance"])
 
-        out = out.union(src.mapInArrow(run, "doc_id long, item_id long, start_word int, distance int"))
+        out = out.union(src.mapInArrow(run, schema))
     return out
