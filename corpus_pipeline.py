@@ -7,10 +7,10 @@ benchmark  rows in which a benchmark item is found go
 packing    the rest is packed into sequences of 2048 tokens
 
 A stage takes (spark, docs, sf_dir); all but the last return the columns that
-they were given.  Rows that repeat id and text are copies, one stays; rows that share an id and
-differ in text stand or fall together at the duplicates and benchmark stages.
-Rows without id are judged each by its text.
-Null texts leave at the first stage; an empty table passes through all of them.
+they were given.  Null texts leave at the first stage; an empty table passes
+through all of them.  A row is known by its id and two hashes of its text, so
+rows without id, and rows that share an id and differ in text, are judged each
+for itself; rows that repeat id and text are copies, of which one stays.
 """
 
 from __future__ import annotations
@@ -47,20 +47,24 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return out.where(F.col("score") >= quality.THRESHOLD).select("row.*")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Whole rows in one column, beside a key that is never null and orders rows by id."""
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    return docs.select(F.struct("*").alias("row"), key.alias("key"), "text")
+
+
 def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    left = _boxed(docs.join(gone, "doc_id", "left_anti").select(docs.columns))
-    return left.withColumn("digest", F.xxhash64("text")).dropDuplicates(["doc_id", "digest"]).select("row.*")
+    rows = _keyed(docs)
+    gone = near_duplicates(rows, id_col="key").where("not kept").select(F.col("doc_id").alias("key")).distinct()
+    # copies meet before the join, which is on the same key
+    one = rows.groupBy("key").agg(F.first("row").alias("row"))
+    return one.join(gone, "key", "left_anti").select("row.*")
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    items = _table(spark, sf_dir, "benchmark")
-    found = contaminated(docs.where("doc_id is not null"), items)
-    named = docs.where("doc_id is not null").join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
-    # rows without id are told apart by their text
-    other = _boxed(docs.where("doc_id is null")).withColumn("digest", F.xxhash64("text"))
-    found = contaminated(other.select("digest", "text"), items, id_col="digest")
-    return named.union(other.join(found.select(F.col("doc_id").alias("digest")).distinct(), "digest", "left_anti").select("row.*"))
+    rows = _keyed(docs)
+    found = contaminated(rows, _table(spark, sf_dir, "benchmark"), id_col="key").select(F.col("doc_id").alias("key")).distinct()
+    return rows.join(found, "key", "left_anti").select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
