@@ -74,7 +74,7 @@ def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndar
             x = fit.bit_length() - 1
             content.append((x, take(x)))
             gap -= x
-        if gap and len(content) > 1:
+        if gap:
             small, i = content[-1]
             pair = best_pair(gap + small, small)
             if pair:
@@ -125,16 +125,16 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
 def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", kind: str = "words", keep_ids: bool = False, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Place every piece of every text: the columns of :func:`pieces`, sequence_id, offset.
 
-    Pieces are dealt by hash into groups of about ``group_pieces``, packed
-    independently; only their lengths and digests are shuffled (ids too where
+    Pieces are dealt by a hash of their stored row number, so that copies
+    spread too, into groups of about ``group_pieces``, packed independently; only their lengths and digests are shuffled (ids too where
     kept).  Null and empty texts are the end id alone.  Null ids and repeated
     rows are packed like others, each row on its own.  An empty table gives an
     empty result.
     """
     ws = Workspace(docs.sparkSession, "pack")
-    cut = ws.stage(pieces(docs, tokenizer, end_id, capacity, id_col, text_col, kind, keep_ids), "pieces")
+    cut = ws.stage(pieces(docs, tokenizer, end_id, capacity, id_col, text_col, kind, keep_ids).withColumn("row", F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-cut.count() // group_pieces))
-    dealt = cut.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("int"))
+    dealt = cut.withColumn("grp", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int")).drop("row")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "piece", "ids_crc32"], na_position="first", kind="stable", ignore_index=True)

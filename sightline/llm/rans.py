@@ -111,8 +111,8 @@ def pack(doc_ids: np.ndarray, valid: np.ndarray, lengths: np.ndarray, ids: np.nd
     return MAGIC + len(head).to_bytes(4, "little") + head + body + words.astype("<u4").tobytes()
 
 
-def unpack(data: bytes, table: Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(doc ids, their validity, lengths, ids); raises where a checksum differs."""
+def _open(data: bytes, table: Table) -> tuple[dict, list[np.ndarray], np.ndarray]:
+    """(header, index arrays, words) of a file whose index is intact."""
     if data[:8] != MAGIC:
         raise ValueError("not a token file")
     n = int.from_bytes(data[8:12], "little")
@@ -125,12 +125,32 @@ def unpack(data: bytes, table: Table) -> tuple[np.ndarray, np.ndarray, np.ndarra
         at += parts[-1].nbytes
     if zlib.crc32(data[begin:at]) != h["index"]:
         raise ValueError("index checksum")
-    doc_ids, valid, lengths, sizes, sums, states = parts
-    words = np.frombuffer(data, "<u4", -1, at)
+    return h, parts, np.frombuffer(data, "<u4", -1, at)
+
+
+def _checked(i: int, words: np.ndarray, states: np.ndarray, wanted: int) -> None:
+    if zlib.crc32(words.tobytes(), zlib.crc32(states.tobytes())) != wanted:
+        raise ValueError(f"checksum of block {i}")
+
+
+def unpack(data: bytes, table: Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(doc ids, their validity, lengths, ids); raises where a checksum differs."""
+    h, (doc_ids, valid, lengths, sizes, sums, states), words = _open(data, table)
     e = 0
     for i, size in enumerate(sizes.astype(np.int64)):
-        if zlib.crc32(words[e : e + size].tobytes(), zlib.crc32(states[i * LANES : (i + 1) * LANES].tobytes())) != sums[i]:
-            raise ValueError(f"checksum of block {i}")
+        _checked(i, words[e : e + size], states[i * LANES : (i + 1) * LANES], sums[i])
         e += size
     ids = decode_blocks(states, sizes, words, h["tokens"], table) if h["tokens"] else np.empty(0, np.uint32)
     return doc_ids, valid.astype(bool), lengths, ids
+
+
+def unpack_block(data: bytes, i: int, table: Table) -> np.ndarray:
+    """The ids of block ``i`` alone, from its checkpoint: lane states, place among the words and checksum."""
+    h, (_, _, _, sizes, sums, states), words = _open(data, table)
+    at, mine = int(sizes[:i].sum(dtype=np.int64)), states[i * LANES : (i + 1) * LANES]
+    words = words[at : at + int(sizes[i])]
+    _checked(i, words, mine, sums[i])
+    n = min(BLOCK, h["tokens"] - i * BLOCK)
+    # a block of a file of several is coded at full length, the last with padding
+    coded = BLOCK if h["blocks"] > 1 else n
+    return decode_blocks(mine, sizes[i : i + 1], words, coded, table)[:n]

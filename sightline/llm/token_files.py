@@ -86,7 +86,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, id_col: str
     spark = docs.sparkSession
     ws = Workspace(spark, "tokens")
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ordered = src.repartitionByRange(partitions_for(spark), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # rows equal in id and text may stand in any order: dealt by where they were read, they don't meet in one task
+    ordered = src.select("*", F.xxhash64("text").alias("h"), F.spark_partition_id().alias("at")).repartitionByRange(partitions_for(spark), "doc_id", "h", "at").sortWithinPartitions("doc_id", "h").drop("h", "at")
     segments = ws.stage(tokenise(ordered, tokenizer, end_id), "ids")
     freq = rans.quantise(_frequencies(segments))
     folder = ws.path("files")

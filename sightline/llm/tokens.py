@@ -17,9 +17,10 @@ import pyarrow as pa
 
 from .textscan import IS_SPACE, U64, slices, span_hashes, text_buffers
 
-#: A worker's piece table has 2**21 places (32 MB) and starts anew when this many pieces or ids are in it.
+#: A worker's piece table has 2**21 places (32 MB) and starts anew when it is this full or holds this many ids.
+#: A slice with more distinct pieces than that (one very long text) has a larger table for itself alone.
 TABLE_BITS = 21
-TABLE_PIECES = 900_000
+TABLE_LOAD = 0.43
 TABLE_IDS = 6_000_000
 #: Texts with a piece longer than this are encoded whole, without the table.
 LONG_PIECE = 20_000
@@ -73,15 +74,17 @@ class PieceEncoder:
             self.lengths[i] = len(piece.removesuffix("</w>") if kind == "words" else piece)
         self._forget()
 
-    def _forget(self) -> None:
-        self.keys = np.zeros(1 << TABLE_BITS, np.uint64)
-        self.value = np.zeros(1 << TABLE_BITS, np.int64)  # place in ids << 16 | number of ids
+    def _forget(self, least: int = 0) -> None:
+        """An empty table with room for ``least`` pieces."""
+        self.bits = max(TABLE_BITS, int(least / TABLE_LOAD).bit_length())
+        self.keys = np.zeros(1 << self.bits, np.uint64)
+        self.value = np.zeros(1 << self.bits, np.int64)  # place in ids << 16 | number of ids
         self.ids = np.empty(1 << 16, np.uint32)
         self.n_ids = self.n_pieces = 0
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Values of hashes by linear probing; -1 where unknown."""
-        mask = U64((1 << TABLE_BITS) - 1)
+        mask = U64((1 << self.bits) - 1)
         slot = h & mask
         got = self.keys[slot]
         out = np.where(got == h, self.value[slot], -1)
@@ -96,7 +99,7 @@ class PieceEncoder:
 
     def _insert(self, h: np.ndarray, value: np.ndarray) -> None:
         """Add hashes that are not in the table; they are distinct."""
-        mask = U64((1 << TABLE_BITS) - 1)
+        mask = U64((1 << self.bits) - 1)
         slot = h & mask
         left = np.arange(len(h))
         while len(left):
@@ -200,10 +203,11 @@ class PieceEncoder:
         value = self._find(h)
         miss = np.flatnonzero(value < 0)
         if len(miss):
-            if self.n_pieces + len(miss) > TABLE_PIECES or self.n_ids > TABLE_IDS:
-                self._forget()
-                miss = np.arange(len(h))
             new, first = np.unique(h[miss], return_index=True)
+            if self.n_pieces + len(new) > TABLE_LOAD * (1 << self.bits) or self.n_ids > TABLE_IDS:
+                miss = np.arange(len(h))
+                new, first = np.unique(h, return_index=True)
+                self._forget(len(new))
             idx = miss[first]
             raw = buf.tobytes()
             self._learn(new, [raw[s:e] for s, e in zip(starts[idx].tolist(), ends[idx].tolist(), strict=True)])
@@ -214,7 +218,10 @@ class PieceEncoder:
         gather += np.arange(len(gather))
         sums = np.concatenate([[0], total])
         bound = sums[np.searchsorted(starts, offsets)]
-        return self.ids[gather], np.diff(bound)
+        ids = self.ids[gather]
+        if self.bits > TABLE_BITS:
+            self._forget()
+        return ids, np.diff(bound)
 
     def encode(self, column: pa.Array):
         """Yield (first row, last row, ids, ids a text) through a column; nulls are empty."""
