@@ -85,7 +85,7 @@ def op7_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame
 
 @query
 def op3_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in 40 shards of near-equal bytes."""
+    """All documents in 40 shards of near-equal bytes, by a slot map that is stored and read back."""
     out = sharding.shard(_table(spark, sf_dir, "documents"), 40)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
 
