@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import Workspace
 
+#: Most vectors of a leaf, which are compared all together.
 LEAF = 512
 #: Distinct vectors of one tree.
 SHARD_ROWS = 10_000
@@ -48,9 +49,9 @@ def extend(x: np.ndarray, longest: float) -> np.ndarray:
     return np.concatenate([x, rest[:, None]], 1)
 
 
-def build(x: np.ndarray, rows: np.ndarray, rng: np.random.Generator) -> Node:
+def build(x: np.ndarray, rows: np.ndarray, rng: np.random.Generator, leaf: int = LEAF) -> Node:
     """A tree over ``rows`` of ``x``: the vantage point, of five tried, spreads distances most."""
-    if len(rows) <= LEAF:
+    if len(rows) <= max(leaf, 5):
         return Node(rows=rows)
     tries = rng.choice(rows, 5, replace=False)
     some = x[rng.choice(rows, min(len(rows), 200), replace=False)]
@@ -60,7 +61,7 @@ def build(x: np.ndarray, rows: np.ndarray, rng: np.random.Generator) -> Node:
     order = np.argsort(d, kind="stable")
     half = len(rows) // 2
     radius = float(d[order[half]])
-    return Node(point=point, radius=radius, inside=build(x, rows[order[:half]], rng), outside=build(x, rows[order[half:]], rng))
+    return Node(point=point, radius=radius, inside=build(x, rows[order[:half]], rng, leaf), outside=build(x, rows[order[half:]], rng, leaf))
 
 
 class Search:
@@ -109,7 +110,7 @@ def usable(col: str) -> Column:
     return v.isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists(v, lambda e: e != 0)
 
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20, factor: float = FACTOR, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
+def search(vectors: DataFrame, k: int = 20, every: int = 20, factor: float = FACTOR, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, leaf: int = LEAF) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products of each query.
 
     Queries are the rows whose id is divisible by ``every``; every other row is
@@ -118,7 +119,8 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, factor: float = FAC
     most, or hold null or non-finite parts, take no part.  Equal vectors are
     one tree entry with the k+1 smallest of their ids, all that a result can
     ever name.  Rows that repeat an id and vector count once; a candidate id
-    with several vectors counts with each, a query id with the first by digest.  An empty table gives an empty result.
+    with several vectors counts with each, a query id with the first by digest.
+    Other columns are not read.  An empty table gives an empty result.
     """
     spark = vectors.sparkSession
     ws = Workspace(spark, "vptree")
@@ -149,7 +151,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, factor: float = FAC
         x = np.stack(pts["v"].to_numpy()).astype(np.float64)
         ids = pts["ids"].to_numpy()
         ext = extend(x, m)
-        root = build(ext, np.arange(len(x)), np.random.Generator(np.random.PCG64(len(x))))
+        root = build(ext, np.arange(len(x)), np.random.Generator(np.random.PCG64(len(x))), leaf)
         block = block.sort_values("vec_id")
         for lo in range(0, len(block), WALK):
             part = block.iloc[lo : lo + WALK]
