@@ -1,9 +1,11 @@
 """WARC archives with revisit records in place of repeated payloads.
 
-Only headers (id, digest, size) are shuffled by payload digest to find each
-payload's original; the decisions then meet the pages by id, revisits drop
-their payload before that shuffle's rows are written, and every task writes
-archives of its own with fresh headers, one gzip member a record.
+A first pass puts payloads into files of the shared folder, compressed, and
+keeps of each page a header: id, digest, size, file and place in it.  Only
+headers are shuffled, by payload digest to find each payload's original and by
+file to meet the payloads again, so no payload ever is.  Every task then copies
+the payloads of its files' responses into archives of its own with fresh
+headers, one gzip member a record; a revisit's payload is not read.
 """
 
 from __future__ import annotations
@@ -17,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, make_dir, partitions_for, read_bytes, tidy, write_bytes
+from .common import Workspace, make_dir, partitions_for, read_bytes, salted_join, tidy, write_bytes
 
 ARCHIVE_BYTES = 64 << 20
+#: Compressed payload bytes after which a file of payloads is closed; a larger payload still has one file.
+STORE_BYTES = 16 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SPACE = uuid.UUID("5b6f4e6e-3c1d-4c58-9d2e-7f0c8d5a1b42")
 
@@ -80,32 +84,66 @@ def parse_archive(data: bytes):
         yield head, raw[cut + 4 : cut + 4 + n]
 
 
-def resolve(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """page_id, sha1 (hex), refers_to, refers_uri: one row a distinct (page_id, payload).
+HEADER = pa.schema([("page_id", pa.int64()), ("uri", pa.string()), ("sha1", pa.string()), ("size", pa.int64()), ("file", pa.string()), ("at", pa.int64()), ("stored", pa.int64())])
 
-    Among equal payloads of at least ``min_bytes`` the smallest id is the
-    original, the others refer to it.
+
+def store_payloads(pages: DataFrame, folder: str, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html") -> DataFrame:
+    """Put payloads into files below ``folder``; one header row a page (lazily: write it once).
+
+    Files are named anew by every attempt; only headers of attempts that
+    succeeded are kept, so retries leave no wrong file behind them.
     """
     raw = F.coalesce(F.col(payload_col).cast("string").cast("binary"), F.lit(b""))
-    heads = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(uri_col).cast("string").alias("uri"), F.sha1(raw).alias("sha1"), F.octet_length(raw).alias("size")).where(F.col("size") >= min_bytes)
-    first = heads.where("page_id is not null").groupBy("sha1").agg(F.min("page_id").alias("first"), F.min_by("uri", F.struct("page_id", "uri")).alias("first_uri"), F.count("*").alias("copies"))
-    # payloads that occur once need no join with their headers
-    again = heads.select("page_id", "sha1").join(first.where("copies > 1").drop("copies"), "sha1").where("page_id is null or page_id != first")
-    lone = heads.where("page_id is null").select("page_id", "sha1").join(first.where("copies = 1").drop("copies"), "sha1")
-    return again.union(lone).select("page_id", "sha1", F.col("first").alias("refers_to"), F.col("first_uri").alias("refers_uri")).distinct()
 
+    @tidy
+    def run(batches):
+        rows, made, size = [], [], 0
+        path = f"{folder}/{uuid.uuid4().hex}"
+        for b in batches:
+            for page_id, uri, payload in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                z = zlib.compress(payload, 1)
+                rows.append((page_id, uri, hashlib.sha1(payload).hexdigest(), len(payload), path, size, len(z)))
+                made.append(z)
+                size += len(z)
+                if size >= STORE_BYTES:
+                    write_bytes(path, b"".join(made))
+                    yield _batch(rows)
+                    rows, made, size, path = [], [], 0, f"{folder}/{uuid.uuid4().hex}"
+        if rows:
+            write_bytes(path, b"".join(made))
+            yield _batch(rows)
 
-def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """Write ``pages`` to archives below ``folder``; returns path, records, bytes of each (lazily: write it once)."""
-    raw = F.coalesce(F.col(payload_col).cast("string").cast("binary"), F.lit(b""))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(uri_col).cast("string").alias("uri"), raw.alias("payload"), F.sha1(raw).alias("sha1"))
-    seen = resolve(pages, min_bytes, id_col, uri_col, payload_col).withColumnsRenamed({"page_id": "pid", "sha1": "psha"})
-    met = rows.join(seen, rows.page_id.eqNullSafe(seen.pid) & (rows.sha1 == seen.psha), "left")
-    met = met.select("page_id", "uri", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), F.octet_length("payload").cast("long").alias("size"), "sha1", "refers_to", "refers_uri")
+    def _batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), HEADER, strict=True)], schema=HEADER)
+
+    src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(uri_col).cast("string").alias("uri"), raw.alias("payload"))
+    return src.mapInArrow(run, "page_id long, uri string, sha1 string, size long, file string, at long, stored long")
+
+
+def resolve(heads: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """Headers with refers_to and refers_uri, null for responses.
+
+    Among equal payloads of at least ``min_bytes`` the smallest id is the
+    original, the others refer to it.  The rows of a digest, of whatever
+    number, are dealt over many tasks.
+    """
+    known = heads.where((F.col("size") >= min_bytes) & F.col("page_id").isNotNull())
+    first = known.groupBy("sha1").agg(F.min(F.struct("page_id", "uri")).alias("o")).select("sha1", F.col("o.page_id").alias("first"), F.col("o.uri").alias("first_uri"))
+    # digests without an id of their own have no original
+    lone = heads.select("sha1").distinct().join(first, "sha1", "left")
+    met = salted_join(heads, lone, "sha1", F.xxhash64("file", "at"))
+    again = (F.col("size") >= min_bytes) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    return met.select(*heads.columns, F.when(again, F.col("first")).alias("refers_to"), F.when(again, F.col("first_uri")).alias("refers_uri"))
+
+
+def write_archives(heads: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
+    """Write resolved headers and their payloads to archives below ``folder``; returns path, records, bytes of each (lazily: write it once)."""
+    names = ("file", "at", "stored", "page_id", "uri", "sha1", "size", "refers_to", "refers_uri")
+    dealt = heads.select(*names).repartition(partitions_for(heads.sparkSession), "file").sortWithinPartitions("file", "at")
 
     @tidy
     def run(batches):
-        made, n, size = [], 0, 0
+        made, n, size, held, data = [], 0, 0, None, b""
 
         def close():
             path = f"{folder}/{uuid.uuid4().hex}.warc.gz"
@@ -113,8 +151,12 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, date: str
             return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64()), pa.array([size], pa.int64())], names=["path", "records", "bytes"])
 
         for b in batches:
-            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                page_id, uri, payload, length, sha, refers, refers_uri = r
+            for file, at, stored, page_id, uri, sha, length, refers, refers_uri in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                payload = None
+                if refers is None:
+                    if held != file:
+                        held, data = file, memoryview(read_bytes(file))
+                    payload = zlib.decompress(data[at : at + stored])
                 rec = build_record(page_id, uri, payload, base64.b32encode(bytes.fromhex(sha)).decode(), length, refers, refers_uri, date)
                 made.append(rec)
                 n, size = n + 1, size + len(rec)
@@ -124,7 +166,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, date: str
         if made:
             yield close()
 
-    return met.mapInArrow(run, "path string, records long, bytes long")
+    return dealt.mapInArrow(run, "path string, records long, bytes long")
 
 
 def read_archives(paths: DataFrame) -> DataFrame:
@@ -162,13 +204,17 @@ def read_archives(paths: DataFrame) -> DataFrame:
 def archive(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Write all pages to archives in the shared folder and read them back.
 
-    Null payloads are empty ones.  Equal rows (same id, same payload) that are
-    the original are responses all; a null id is never the original where an id
-    exists, else its record is a response.  White space in URIs becomes single
-    blanks, null or empty URIs have no header.  An empty table gives no archive.
+    Null payloads are empty ones; payloads of any length are whole.  Equal rows
+    (same id, same payload) that are the original are responses all; a null id
+    is never the original where an id exists, else its record is a response.
+    White space in URIs becomes single blanks, null or empty URIs have no
+    header.  Other columns are not read.  An empty table gives no archive.
     """
-    ws = Workspace(pages.sparkSession, "warc")
-    folder = ws.path("archives")
+    spark = pages.sparkSession
+    ws = Workspace(spark, "warc")
+    payloads, folder = ws.path("payloads"), ws.path("archives")
+    make_dir(payloads)
     make_dir(folder)
-    done = ws.stage(write_archives(pages, folder, min_bytes, id_col=id_col, uri_col=uri_col, payload_col=payload_col), "manifest")
-    return read_archives(done.repartition(partitions_for(pages.sparkSession)))
+    heads = ws.stage(store_payloads(pages, payloads, id_col, uri_col, payload_col), "headers")
+    done = ws.stage(write_archives(resolve(heads, min_bytes), folder), "manifest")
+    return read_archives(done.repartition(partitions_for(spark)))
