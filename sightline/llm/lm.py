@@ -1,12 +1,16 @@
 """Whole-document log-likelihoods from a recurrent language model.
 
 1. One pass cuts documents into words and stores them in chunks: local word
-   numbers, and each chunk's distinct words with their training counts.
-2. Counts are summed over all chunks by word; every chunk gets back the counts
-   of its own words.  What is shuffled is one row a chunk and distinct word.
-3. Every chunk trains a copy of the starting model on all its training
-   documents; the copies' average, weighted by tokens, is the model.  Further
-   rounds start from it; their number grows with that of the chunks.
+   numbers, and each chunk's distinct words, sorted by hash, with their
+   training counts.
+2. Counts are summed by ranges of the hash: a chunk sends each range one block
+   of (hash, count) arrays, the range's task adds them up in numpy and sends
+   each chunk back the totals of its words.  No word, however frequent, has
+   more than one entry a chunk, and a range is as large as the others.
+3. Every chunk trains a copy of the starting model; the copies' average,
+   weighted by tokens, is the model.  Training goes in rounds, more of them for
+   more chunks; a round takes its share of every chunk's training documents
+   and starts from the average before, so each document is learnt from once.
 4. Every chunk's documents are scored, state carried from end to end.
 
 The model predicts among the most frequent words, a number that grows with the
@@ -27,7 +31,9 @@ from .common import Workspace, conf, partitions_for, tidy
 from .textscan import iter_words
 
 #: Words with outputs of their own in the model: GROWTH * sqrt(distinct training words), SHORTLIST at least.
-SHORTLIST, GROWTH = 1024, 16
+SHORTLIST, GROWTH = 1024, 2
+#: Ranges of the hash a shuffle partition: what a task holds at once is one range.
+RANGES = 4
 #: Text bytes after which a chunk is closed; a longer document is a chunk of its own.
 CHUNK_BYTES = 16 << 20
 RATE = 0.05
@@ -74,47 +80,73 @@ def _chunks(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _vocabulary(chunks: DataFrame) -> DataFrame:
-    """chunk, place, word, n: a row for every distinct word of every chunk."""
+def _by_range(chunks: DataFrame, bits: int) -> DataFrame:
+    """range, chunk, words, counts: the part of a chunk's words whose hashes begin with the range's ``bits``."""
 
     @tidy
     def run(batches):
+        edges = (np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(1, np.uint64)
         for b in batches:
             for chunk, words, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                w, n = np.frombuffer(words, "<i8"), np.frombuffer(counts, "<i8")
-                for lo in range(0, len(w), 100_000):
-                    k = len(w[lo : lo + 100_000])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(k, chunk)), pa.array(np.arange(lo, lo + k, dtype=np.int32)), pa.array(w[lo : lo + k]), pa.array(n[lo : lo + k])], names=["chunk", "place", "word", "n"])
+                w, n = np.frombuffer(words, "<u8"), np.frombuffer(counts, "<i8")
+                # few counts need more than 16 bits: as small a type as holds them all
+                n = n.astype("<u2" if n.max(initial=0) < 1 << 16 else "<i8")
+                at = np.append(np.searchsorted(w, edges), len(w))
+                some = np.flatnonzero(np.diff(at))
+                blocks = [[x[at[r] : at[r + 1]].tobytes() for r in some] for x in (w, n)]
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), chunk)), *(pa.array(x, pa.binary()) for x in blocks)], names=["range", "chunk", "words", "counts"])
 
-    return chunks.select("chunk", "words", "counts").mapInArrow(run, "chunk long, place int, word long, n long")
+    return chunks.select("chunk", "words", "counts").mapInArrow(run, "range int, chunk long, words binary, counts binary")
 
 
-def _totals(vocabulary: DataFrame) -> DataFrame:
-    """chunk, totals: corpus counts of a chunk's words in the order of its word numbers."""
+def _totals(parts: DataFrame) -> DataFrame:
+    """range, chunk, totals (of a chunk's part) and, once a range with chunk null, words and totals of all training words."""
 
     @tidy
     def run(batches):
-        key, held = None, []
-
-        def row():
-            return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([np.concatenate(held).astype("<i8").tobytes()], pa.binary())], names=["chunk", "totals"])
+        def rows(key, held):
+            words = [np.frombuffer(w, "<u8") for _, w, _ in held]
+            counts = [np.frombuffer(n, "<u2" if len(n) < len(w) else "<i8") for _, w, n in held]
+            seen, at = np.unique(np.concatenate(words), return_inverse=True)
+            total = np.bincount(at, weights=np.concatenate(counts), minlength=len(seen)).astype("<i8")
+            known = total > 0
+            out = [(None, seen[known].astype("<u8").tobytes(), total[known].tobytes())]
+            stop = np.cumsum([len(w) for w in words])
+            out += [(chunk, None, total[at[e - len(w) : e]].tobytes()) for (chunk, _, _), w, e in zip(held, words, stop, strict=True)]
+            for lo in range(0, len(out), 256):
+                some = list(zip(*out[lo : lo + 256], strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(some[0]), pa.int32()), pa.array(some[0], pa.int64()), pa.array(some[1], pa.binary()), pa.array(some[2], pa.binary())], names=["range", "chunk", "words", "totals"])
 
+        key, held = None, []
         for b in batches:
-            if not b.num_rows:
-                continue
-            chunk, total = b.column(0).to_numpy(), b.column(1).to_numpy()
-            cut = np.concatenate([[0], np.flatnonzero(chunk[1:] != chunk[:-1]) + 1, [len(chunk)]])
-            for s, e in zip(cut[:-1], cut[1:], strict=True):
-                if key is not None and chunk[s] != key:
-                    yield row()
+            for r, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if r != key and held:
+                    yield from rows(key, held)
                     held = []
-                key = int(chunk[s])
-                held.append(total[s:e])
+                key = r
+                held.append(row)
         if held:
-            yield row()
+            yield from rows(key, held)
+
+    dealt = parts.repartition(partitions_for(parts.sparkSession), "range").sortWithinPartitions("range")
+    return dealt.mapInArrow(run, "range int, chunk long, words binary, totals binary")
 
-    dealt = vocabulary.repartition("chunk").sortWithinPartitions("chunk", "place").select("chunk", "total")
-    return dealt.mapInArrow(run, "chunk long, totals binary")
+
+def _known(totals: DataFrame, least: int | None = None) -> DataFrame:
+    """Training words: with ``least`` word and total of the most frequent of each range, so many at most; else their number and sum."""
+
+    @tidy
+    def run(batches):
+        for b in batches:
+            for words, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                w, n = np.frombuffer(words, "<i8"), np.frombuffer(raw, "<i8")
+                if least is None:
+                    yield pa.RecordBatch.from_arrays([pa.array([n.sum()], pa.int64()), pa.array([len(w)], pa.int64())], names=["total", "word"])
+                    continue
+                pick = np.lexsort((w, -n))[:least]
+                yield pa.RecordBatch.from_arrays([pa.array(n[pick]), pa.array(w[pick])], names=["total", "word"])
+
+    return totals.where("chunk is null").select("words", "totals").mapInArrow(run, "total long, word long")
 
 
 def _ids(row: dict, short: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,17 +159,20 @@ def _ids(row: dict, short: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return to[np.frombuffer(row["tokens"], "<u4")], np.cumsum(length) - length, length
 
 
-def _average(chunks: DataFrame, start: gru.Model, short: np.ndarray, end: int, rate: float) -> gru.Model:
-    """Every chunk's training documents move a copy of the model; the weighted mean of all copies."""
+def _average(chunks: DataFrame, start: gru.Model, short: np.ndarray, end: int, rate: float, share: tuple[int, int]) -> gru.Model:
+    """Every chunk's training documents move a copy of the model; the weighted mean of all copies.
+
+    ``share`` (i, n): every n-th training document of a chunk, beginning with the i-th.
+    """
 
     @tidy
     def train(batches):
         for b in batches:
             for row in b.to_pylist():
                 ids, at, length = _ids(row, short)
-                mine = np.frombuffer(row["held"], "u1") == 0
+                mine = np.flatnonzero(np.frombuffer(row["held"], "u1") == 0)[share[0] :: share[1]]
                 m = start.like(start.flat())
-                if mine.any():
+                if len(mine):
                     gru.run(m, ids, at[mine], length[mine], end, rate)
                     yield pa.RecordBatch.from_arrays([pa.array([int(length[mine].sum())], pa.int64()), pa.array([m.flat().astype("<f4").tobytes()], pa.binary())], names=["n", "weights"])
 
@@ -151,9 +186,8 @@ def _average(chunks: DataFrame, start: gru.Model, short: np.ndarray, end: int, r
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([(total / n).astype("<f4").tobytes()], pa.binary())], names=["n", "weights"])
 
-    src = chunks.select("chunk", "held", "lengths", "tokens", "words").repartition(partitions_for(chunks.sparkSession), "chunk")
-    each = src.mapInArrow(train, "n long, weights binary")
-    rows = each
+    # chunks are read where they were stored: a task's are those of one task that made them, about 4 each
+    rows = chunks.select("chunk", "held", "lengths", "tokens", "words").mapInArrow(train, "n long, weights binary")
     for n in (None, AVERAGES, 1):  # models grow, so one row reaches the driver
         rows = (rows.repartition(n) if n else rows).mapInArrow(mean, "n long, weights binary")
     # what this shuffles is read once
@@ -177,26 +211,27 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
     Rows where ``held_out`` is true teach nothing; a null there means false.
-    Null and empty texts are the end token alone.  Null ids pass through,
-    repeated rows score equally, an empty table gives an empty result.  Without
-    training rows every token is unknown and both scores are 0.
+    Null and empty texts are the end token alone; texts of any length are
+    scored whole, a text beyond CHUNK_BYTES as a chunk of its own.  Null ids
+    pass through, repeated rows score equally, other columns are not read, an
+    empty table gives an empty result.  Without training rows every token is
+    unknown and both scores are 0.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "lm")
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
-    with conf(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}):
-        chunks = ws.stage(_chunks(src), "chunks")
+    chunks = ws.stage(_chunks(src), "chunks")
     one = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1"}
+    bits = (RANGES * partitions_for(spark) - 1).bit_length()
+    totals = ws.stage(_totals(_by_range(chunks, bits)), "totals")
     with conf(spark, one):
-        by_word = Window.partitionBy("word")
-        vocabulary = _vocabulary(chunks).withColumn("total", F.sum("n").over(by_word)).withColumn("first", F.row_number().over(by_word.orderBy("chunk")) == 1)
-        vocabulary = ws.stage(vocabulary.select("chunk", "place", "total", F.when(F.col("first") & (F.col("total") > 0), F.col("word")).alias("word")), "vocabulary")
-    known = vocabulary.where("word is not null")
-    n_all, v_all = known.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count("*")).first()
-    top = [(r.word, r.total) for r in known.orderBy(F.desc("total"), "word").select("word", "total").limit(shortlist_words(v_all, shortlist)).collect()]
-    end_word = int(END.view(np.int64))
-    if top and end_word not in {w for w, _ in top}:
-        top[-1] = (end_word, known.where(F.col("word") == end_word).first().total)
+        n_all, v_all = _known(totals).agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("word"), F.lit(0))).first()
+        want = shortlist_words(v_all, shortlist)
+        top = [(r.word, r.total) for r in _known(totals, want).orderBy(F.desc("total"), "word").limit(want).collect()]
+        end_word = int(END.view(np.int64))
+        if top and end_word not in {w for w, _ in top}:
+            # every training document ends with it
+            top[-1] = (end_word, src.where("not held").count())
     denominator = n_all + 0.5 * (v_all + 1)
     p = np.array([(n + 0.5) / denominator for _, n in top])
     tail = max(1 - p.sum(), 0.5 / denominator)
@@ -204,13 +239,13 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     order = np.argsort(hashes)
     short = np.stack([hashes[order], order]) if len(top) else np.zeros((2, 0), np.int64)
     end = int(np.flatnonzero(hashes == end_word)[0]) if len(top) else 0
-    totals = ws.stage(_totals(vocabulary), "totals")
     model = None
     if top:
         model = gru.Model.unigram(np.append(p, tail) / (p.sum() + tail))
+        n = rounds or rounds_for(chunks.count())
         with conf(spark, one):
-            for i in range(rounds or rounds_for(chunks.count())):
-                model = _average(chunks, model, short, end, rate / (i + 1))
+            for i in range(n):
+                model = _average(chunks, model, short, end, rate / (i + 1), (i, n))
 
     @tidy
     def run(batches):
@@ -218,7 +253,8 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         for b in batches:
             for row in b.to_pylist():
                 length = np.frombuffer(row["lengths"], "<i8")
-                tok, total = np.frombuffer(row["tokens"], "<u4"), np.frombuffer(row["totals"], "<i8")
+                parts = sorted(row["parts"], key=lambda x: x["range"])
+                tok, total = np.frombuffer(row["tokens"], "<u4"), np.frombuffer(b"".join(x["totals"] for x in parts), "<i8")
                 at = np.cumsum(length) - length
                 lp = np.log10((total + 0.5) / denominator)
                 base, known_n = np.add.reduceat(lp[tok], at), np.add.reduceat((total > 0)[tok].astype(np.int64), at)
@@ -233,6 +269,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
                 cols = [pa.array(np.frombuffer(row["doc_ids"], "<i8"), mask=~valid), pa.array(np.frombuffer(row["held"], "u1") == 1), pa.array(length), pa.array(known_n), pa.array(np.full(n, n_all, np.int64)), pa.array(base), pa.array(got)]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    both = chunks.drop("counts", "docs").join(totals, "chunk")
-    with conf(spark, one):
-        return ws.stage(both.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "scores")
+    # a chunk's totals are one block a range: as many as its words
+    mine = totals.where("chunk is not null").groupBy("chunk").agg(F.collect_list(F.struct("range", "totals")).alias("parts"))
+    both = chunks.drop("counts", "docs").join(mine, "chunk")
+    return ws.stage(both.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "scores", rows=1)
