@@ -120,8 +120,17 @@ def test_sharding(spark, docs, empty, tmp_path):
         slots = sorted(r.slot for r in got if r.shard == s)
         assert slots == list(range(len(slots)))
     assert sharding.shard(empty, 3).count() == 0
-    sharding.shard(docs, 4, map_path=path)
-    assert sharding.load_map(spark, path).version == 1 and sharding.load_map(spark, path, 0).version == 0
+    grown = {(r.doc_id, r.vslot, r.text_crc32): r.shard for r in sharding.shard(docs, 4, map_path=path).collect()}
+    first, second = sharding.load_map(spark, path, 0), sharding.load_map(spark, path)
+    assert (first.version, first.shards, second.version, second.shards) == (0, 3, 1, 4)
+    assert all(grown[r.doc_id, r.vslot, r.text_crc32] == second.shard_of[r.vslot] and r.shard == first.shard_of[r.vslot] for r in got)
+    spread = np.bincount(second.shard_of, minlength=4)
+    assert spread.min() > 0.9 * spread.mean() and (first.shard_of == second.shard_of).mean() > 0.7
+    with pytest.raises(ValueError):
+        sharding.shard(docs, 4, map_path=path, slots=64)
+    # few rows in many shards: the count is kept, empty slots are spread
+    wide = sharding.assign(np.array([5, 0, 0, 7, 0, 0, 0, 0]), 4)
+    assert wide.shards == 4 and np.bincount(wide.shard_of).min() >= 1
     size = np.random.default_rng(1).integers(1, 1000, 4000)
     m = sharding.assign(size, 10)
     grown = sharding.rebalance(m, size, 11)
@@ -191,7 +200,8 @@ def test_packing(docs, empty):
     assert sorted(np.bincount(bins, weights=[6, 3, 2, 2]).tolist()) == [3, 10]
 
 
-def test_vptree(spark):
+@pytest.mark.parametrize("leaf", [8, 512])
+def test_vptree(spark, leaf):
     r = np.random.default_rng(5)
     x = r.normal(size=(700, 16)).astype(np.float32)
     x[100:160] = x[0]
@@ -199,7 +209,7 @@ def test_vptree(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit(1))
     d = x.astype(float)
     for factor, shard, least in ((1.0, 150, 1.0), (vptree.FACTOR, 10_000, 0.9)):
-        got = vptree.search(df, 20, 20, factor, shard_rows=shard).toPandas().sort_values(["query_id", "rank"])
+        got = vptree.search(df, 20, 20, factor, shard_rows=shard, leaf=leaf).toPandas().sort_values(["query_id", "rank"])
         hit = 0
         for q in range(0, 700, 20):
             s = np.einsum("ij,j->i", d, d[q])
@@ -236,6 +246,7 @@ def test_lm(spark, docs, empty):
 def test_lm_shortlist_grows(spark, monkeypatch):
     """More than 1024 words have inputs and outputs of their own where the vocabulary is large."""
     made = []
+    monkeypatch.setattr(lm, "GROWTH", 16)
     monkeypatch.setattr(lm.gru.Model, "unigram", classmethod(lambda cls, p, seed=9, make=lm.gru.Model.unigram.__func__: made.append(make(cls, p, seed)) or made[-1]))
     rows = [(i, " ".join(f"v{(7 * i + j) % 9000}" for j in range(90))) for i in range(1300)]
     got = lm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 0).collect()

@@ -36,10 +36,17 @@ def test_empty(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
-def test_benchmark_rows_without_id(spark, tmp_path):
+def test_rows_without_id_and_repeated_ids(spark, tmp_path):
+    """Decisions are by row: an id decides neither for another text of the same id nor for rows without id."""
     bench = text(500, 30)
     spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    clean, dirty = text(700, 80), f"{text(600, 60)} {bench} {text(601, 60)}"
-    docs = spark.createDataFrame([(None, clean), (None, dirty), (1, clean), (2, dirty)], "doc_id long, text string")
+    clean, dirty, other = text(700, 80), f"{text(600, 60)} {bench} {text(601, 60)}", text(900, 70)
+    cols = "doc_id long, text string, row string, key int, id int, h1 int"
+    docs = spark.createDataFrame([(i, t, "r", 1, 2, 3) for i, t in [(None, clean), (None, dirty), (1, clean), (2, dirty), (2, other), (2, other)]], cols)
     got = corpus_pipeline.benchmark(spark, docs, str(tmp_path))
-    assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=repr) == [(1, clean), (None, clean)]
+    rows = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    assert got.columns == docs.columns and rows(got) == sorted([(1, clean), (None, clean), (2, other), (2, other)], key=repr)
+    near = edited(clean, 2, 1)
+    docs = spark.createDataFrame([(i, t, "r", 1, 2, 3) for i, t in [(None, near), (None, near), (5, clean), (5, other), (5, other), (4, near), (None, dirty), (None, dirty), (6, other)]], cols)
+    got = corpus_pipeline.duplicates(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns and rows(got) == sorted([(4, near), (5, other), (None, dirty)], key=repr)
