@@ -21,6 +21,7 @@ WINDOW = 64
 MAX_LANES = 1024
 #: When the model learns: lanes at most, and steps a lane should have, so that updates grow with the tokens.
 LEARN_LANES, LEARN_STEPS = 256, 2048
+OUTPUT_ROWS = 4096
 
 
 class Model:
@@ -78,13 +79,11 @@ def lanes(lengths: np.ndarray, most: int = MAX_LANES, steps: int = 256) -> tuple
     return out, max(n for n, _ in heap)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
-def _softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(1, keepdims=True))
-    return e / e.sum(1, keepdims=True)
+def _exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(x - largest of the row) and its sums by row; ``x`` becomes x - largest."""
+    x -= x.max(1, keepdims=True)
+    e = np.exp(x)
+    return e, e.sum(1)
 
 
 class Adagrad:
@@ -103,69 +102,99 @@ class Adagrad:
 def _forward(m: Model, h: np.ndarray, prev: np.ndarray, fresh: np.ndarray, keep: bool):
     """States before each step's target; (steps, lanes, hidden), the last state, what backward needs."""
     X, U, n = m.p["X"], m.p["U"], HIDDEN
-    steps = len(prev)
-    out = np.empty((steps, prev.shape[1], n), np.float32)
-    kept = []
+    steps, wide = prev.shape
+    out = np.empty((steps, wide, n), np.float32)
+    # states before each step, gates z and r, candidates c, recurrent part of the candidates
+    kept = [np.empty((steps, wide, k), np.float32) for k in (n, 2 * n, n, n)] if keep else []
+    clear = fresh.any(1)
     for t in range(steps):
-        h = np.where(fresh[t][:, None], np.float32(0), h)
+        if clear[t]:
+            h = np.where(fresh[t][:, None], np.float32(0), h)
         x, u = X[prev[t]], h @ U
-        zr = _sigmoid(x[:, : 2 * n] + u[:, : 2 * n])
+        zr = x[:, : 2 * n] + u[:, : 2 * n]
+        # logistic function, in place
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
         z, r = zr[:, :n], zr[:, n:]
-        c = np.tanh(x[:, 2 * n :] + r * u[:, 2 * n :])
-        new = c + z * (h - c)
+        c = r * u[:, 2 * n :]
+        c += x[:, 2 * n :]
+        np.tanh(c, out=c)
         if keep:
-            kept.append((h, z, r, c, u[:, 2 * n :]))
-        out[t] = h = new
+            for a, v in zip(kept, (h, zr, c, u[:, 2 * n :]), strict=True):
+                a[t] = v
+        new = np.subtract(h, c, out=out[t])
+        new *= z
+        new += c
+        h = new
     return out, h, kept
 
 
-def _output(m: Model, s: np.ndarray, target: np.ndarray, weight: np.ndarray | None):
-    """Log probability of each target; with ``weight`` also gradients of -sum(weight * log p)."""
+def _output(m: Model, s: np.ndarray, target: np.ndarray, weight: np.float32 | None):
+    """Log probability of each target; with ``weight`` also gradients of -weight * sum(log p)."""
     cls = np.where(target < m.words, target // m.width, m.classes)
-    pc = _softmax(s @ m.p["C"] + m.p["c"])
-    rows = np.arange(len(s))
-    logp = np.log(np.maximum(pc[rows, cls], 1e-30)).astype(np.float64)
-    g = {}
+    rows, logp = np.arange(len(s)), np.empty(len(s), np.float32)
+    g, ds = {}, None
     if weight is not None:
-        d = pc * weight[:, None]
-        d[rows, cls] -= weight
-        g = {"C": s.T @ d, "c": d.sum(0), "W": np.zeros_like(m.p["W"]), "w": np.zeros_like(m.p["w"])}
-        ds = d @ m.p["C"].T
+        g = {k: np.zeros_like(m.p[k]) for k in ("C", "c", "W", "w")}
+        ds = np.empty_like(s)
+        back = np.ascontiguousarray(m.p["C"].T)
+    for lo in range(0, len(s), OUTPUT_ROWS):  # so many rows at once stay in the cache
+        own, k = s[lo : lo + OUTPUT_ROWS], cls[lo : lo + OUTPUT_ROWS]
+        at = rows[: len(own)]
+        x = own @ m.p["C"]
+        x += m.p["c"]
+        e, total = _exponentials(x)
+        logp[lo : lo + OUTPUT_ROWS] = x[at, k] - np.log(total)
+        if weight is not None:
+            e *= (weight / total)[:, None]
+            e[at, k] -= weight
+            g["C"] += own.T @ e
+            g["c"] += e.sum(0)
+            ds[lo : lo + OUTPUT_ROWS] = e @ back
     order = np.argsort(cls, kind="stable")
     bound = np.searchsorted(cls[order], np.arange(m.classes + 1))
-    for k in range(m.classes):
-        i = order[bound[k] : bound[k + 1]]
-        if not len(i):
-            continue
-        pw = _softmax(s[i] @ m.p["W"][k] + m.p["w"][k])
-        at, j = np.arange(len(i)), target[i] % m.width
-        logp[i] += np.log(np.maximum(pw[at, j], 1e-30))
+    inside = target[order[: bound[-1]]] % m.width
+    for k in np.flatnonzero(np.diff(bound)):
+        i, j = order[bound[k] : bound[k + 1]], inside[bound[k] : bound[k + 1]]
+        own, at = s[i], rows[: len(i)]
+        x = own @ m.p["W"][k]
+        x += m.p["w"][k]
+        e, total = _exponentials(x)
+        logp[i] += x[at, j] - np.log(total)
         if weight is not None:
-            d = pw * weight[i][:, None]
-            d[at, j] -= weight[i]
-            g["W"][k] = s[i].T @ d
-            g["w"][k] = d.sum(0)
-            ds[i] += d @ m.p["W"][k].T
-    return logp, g, (ds if weight is not None else None)
+            e *= (weight / total)[:, None]
+            e[at, j] -= weight
+            g["W"][k] = own.T @ e
+            g["w"][k] = e.sum(0)
+            ds[i] += e @ m.p["W"][k].T
+    return logp.astype(np.float64), g, ds
 
 
 def _backward(m: Model, kept: list, ds: np.ndarray, prev: np.ndarray, fresh: np.ndarray, g: dict[str, np.ndarray]) -> np.ndarray:
     U, n = m.p["U"], HIDDEN
-    dx = np.empty((*prev.shape, 3 * n), np.float32)
-    g["U"] = np.zeros_like(U)
-    dh = np.zeros_like(ds[0])
-    du = np.empty((prev.shape[1], 3 * n), np.float32)
+    h, zr, c, un = kept
+    z, r = zr[:, :, :n], zr[:, :, n:]
+    # what does not depend on later steps, for the whole window at once
+    to_c, to_z, to_r = (1 - z) * (1 - c * c), (h - c) * z * (1 - z), un * r * (1 - r)
+    du = np.empty((*prev.shape, 3 * n), np.float32)
+    dc = np.empty((*prev.shape, n), np.float32)
+    dh, clear, back = np.zeros_like(ds[0]), fresh.any(1), np.ascontiguousarray(U.T)
     for t in range(len(prev) - 1, -1, -1):
-        h, z, r, c, un = kept[t]
-        d = ds[t] + dh
-        dc = d * (1 - z) * (1 - c * c)
-        du[:, :n] = d * (h - c) * z * (1 - z)
-        du[:, n : 2 * n] = dc * un * r * (1 - r)
-        du[:, 2 * n :] = dc * r
-        dx[t, :, : 2 * n], dx[t, :, 2 * n :] = du[:, : 2 * n], dc
-        g["U"] += h.T @ du
-        dh = np.where(fresh[t][:, None], np.float32(0), d * z + du @ U.T)
-    flat, tok = dx.reshape(-1, 3 * n), prev.ravel()
+        dh += ds[t]
+        np.multiply(dh, to_c[t], out=dc[t])
+        np.multiply(dh, to_z[t], out=du[t, :, :n])
+        np.multiply(dc[t], to_r[t], out=du[t, :, n : 2 * n])
+        np.multiply(dc[t], r[t], out=du[t, :, 2 * n :])
+        dh *= z[t]
+        dh += du[t] @ back
+        if clear[t]:
+            dh[fresh[t]] = 0
+    flat = du.reshape(-1, 3 * n)
+    g["U"] = h.reshape(-1, n).T @ flat
+    flat[:, 2 * n :] = dc.reshape(-1, n)  # what the inputs get
+    tok = prev.ravel()
     order = np.argsort(tok, kind="stable")
     seen, first = np.unique(tok[order], return_index=True)
     g["X"] = np.add.reduceat(flat[order], first, axis=0)
@@ -206,7 +235,7 @@ def run(m: Model, tokens: np.ndarray, starts: np.ndarray, lengths: np.ndarray, e
         s, h, kept = _forward(m, h, prev, fresh, learn)
         live = np.flatnonzero(there.ravel())
         flat = s.reshape(-1, HIDDEN)[live]
-        weight = np.full(len(live), 1 / max(1, len(live)) ** 0.5, np.float32) if learn else None
+        weight = np.float32(1 / max(1, len(live)) ** 0.5) if learn else None
         logp, g, ds = _output(m, flat, target.ravel()[live], weight)
         total += np.bincount(doc.ravel()[live], weights=logp, minlength=len(total))
         if learn:
