@@ -141,6 +141,12 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "fp binary, shingles array<long>").groupBy("fp").agg(F.first("shingles").alias("shingles"))
 
 
+def _sets_of(reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Sets of the classes that ``reps`` stand for, one text a class cut anew; eight bytes tell a row, sets by mistake match nothing."""
+    wanted = reps.select(F.col("rep.h").alias("h")).distinct()
+    return _sets(docs.withColumn("h", F.col("key.h")).join(wanted, "h", "left_semi"))
+
+
 def _xor_bits(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(f"{a}s{i}").bitwiseXOR(F.col(f"{b}s{i}"))) for i in range(1, 4)), F.bit_count(F.col(f"{a}s0").bitwiseXOR(F.col(f"{b}s0"))))
 
@@ -156,8 +162,8 @@ def _verified(ws: Workspace, pairs: DataFrame, classes: DataFrame, docs: DataFra
     )
     near = ws.stage(near, "near")
     # whole texts of the classes concerned only, one text a class, cut to sets anew
-    wanted = near.select(F.col("arep").alias("key")).union(near.select("brep")).distinct()
-    sets = ws.stage(_sets(docs.join(wanted, "key", "left_semi")), "sets")
+    # both joins read one shuffle of the sets
+    sets = _sets_of(near.select(F.col("arep").alias("rep")).union(near.select("brep")), docs)
     both = (
         near.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a")
         .join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
@@ -166,7 +172,7 @@ def _verified(ws: Workspace, pairs: DataFrame, classes: DataFrame, docs: DataFra
         .select("a", "b")
     )
     out = ws.stage(both, "links")
-    ws.drop(sets, near)
+    ws.drop(near)
     return out
 
 
@@ -255,7 +261,7 @@ def _mixed_links(ws: Workspace, bands: DataFrame, classes: DataFrame, comp: Data
     mixed = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1 and size > 2")
     mixed = mixed.select("bucket", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     rows = ws.stage(rows.join(mixed, "bucket"), "mixed")
-    sets = _sets(docs.join(rows.select(F.col("rep").alias("key")).distinct(), "key", "left_semi"))
+    sets = _sets_of(rows.select("rep"), docs)
     # a bucket's members meet in blocks: member k of block b goes to all pairs of blocks with b
     rows = rows.join(sets, "fp").withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -314,7 +320,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     struct = isinstance(docs.schema[id_col].dataType, T.StructType)
     ident = F.col(id_col) if struct else F.col(id_col).cast("long")
     src = docs.select(ident.alias("id"), F.col(text_col).cast("string").alias("text"))
-    src = src.select(F.struct("id", F.xxhash64("text").alias("h")).alias("key"), "text")
+    src = src.select(F.struct("id", F.xxhash64("id", "text").alias("h")).alias("key"), "text")
     sig = ws.stage(signatures(src), "signatures")
     live = sig.where("fp is not null and key.id is not null")
     picked = F.struct("key", F.col("n_shingles").alias("n"), "s0", "s1", "s2", "s3", "bands")
