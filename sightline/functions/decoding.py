@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .tensor import argmax, distribution_expectation, mean_or_zero, softmax_at
+from .tensor import argmax, distribution_expectation, let, mean_or_zero, softmax_at
 
 #: At most so many steps and characters of a plate; number of the blank.
 PLATE_STEPS, PLATE_VOCABULARY, BLANK = 40, 77, 0
@@ -18,12 +18,16 @@ def ctc_text(logits: Column, charset: Column) -> Column:
     and is no blank; its softmax probability is its confidence, the text's is
     their float mean.  A charset of another size than the classes raises.
     """
-    best = F.transform(logits, lambda r: argmax(r))
-    steps = F.transform(logits, lambda r, i: F.struct(r.alias("r"), F.element_at(best, i + 1).alias("b"), F.when(i == 0, F.lit(-1)).otherwise(F.try_element_at(best, i)).alias("p")))
-    kept = F.filter(steps, lambda s: (s["b"] != s["p"]) & (s["b"] != BLANK))
-    conf = F.transform(kept, lambda s: softmax_at(s["r"], s["b"]))
-    text = F.array_join(F.transform(kept, lambda s: F.element_at(charset, s["b"] + 1)), "")
-    out = F.struct(text.alias("text"), mean_or_zero(conf).alias("confidence"), conf.alias("char_confidences"))
+    def written(best: Column) -> Column:
+        steps = F.transform(logits, lambda r, i: F.struct(r.alias("r"), F.element_at(best, i + 1).alias("b"), F.when(i == 0, F.lit(-1)).otherwise(F.try_element_at(best, i)).alias("p")))
+        return F.transform(F.filter(steps, lambda s: (s["b"] != s["p"]) & (s["b"] != BLANK)), lambda s: F.struct(s["b"].alias("b"), softmax_at(s["r"], s["b"]).alias("c")))
+
+    def result(kept: Column) -> Column:
+        conf = F.transform(kept, lambda s: s["c"])
+        text = F.array_join(F.transform(kept, lambda s: F.element_at(charset, s["b"] + 1)), "")
+        return F.struct(text.alias("text"), mean_or_zero(conf).alias("confidence"), conf.alias("char_confidences"))
+
+    out = let(let(F.transform(logits, lambda r: argmax(r)), written), result)
     fits = F.forall(logits, lambda r: F.size(r) == F.size(charset))
     return F.when(fits, out).otherwise(F.raise_error(F.lit("charset size differs from the class count")).cast("struct<text:string,confidence:float,char_confidences:array<float>>"))
 
@@ -31,11 +35,15 @@ def ctc_text(logits: Column, charset: Column) -> Column:
 def ctc_plate(logits: Column, charset: Column, steps: int = PLATE_STEPS, vocabulary: int = PLATE_VOCABULARY) -> Column:
     """STRUCT<text, confidence>; confidences are raw values, one character of a token is written."""
     rows = F.slice(F.transform(logits, lambda r: F.slice(r, 1, vocabulary)), 1, steps)
-    best = F.transform(rows, lambda r: argmax(r))
-    marked = F.transform(rows, lambda r, i: F.struct(F.element_at(r, F.element_at(best, i + 1) + 1).alias("v"), F.element_at(best, i + 1).alias("b"), F.when(i == 0, F.lit(-1)).otherwise(F.try_element_at(best, i)).alias("p")))
-    kept = F.filter(marked, lambda s: (s["b"] != BLANK) & (s["b"] != s["p"]))
-    text = F.array_join(F.transform(kept, lambda s: F.substring(F.element_at(charset, s["b"] + 1), 1, 1)), "")
-    return F.struct(text.alias("text"), mean_or_zero(F.transform(kept, lambda s: s["v"])).alias("confidence"))
+    def written(rows: Column, best: Column) -> Column:
+        marked = F.transform(rows, lambda r, i: F.struct(F.element_at(r, F.element_at(best, i + 1) + 1).alias("v"), F.element_at(best, i + 1).alias("b"), F.when(i == 0, F.lit(-1)).otherwise(F.try_element_at(best, i)).alias("p")))
+        return F.filter(marked, lambda s: (s["b"] != BLANK) & (s["b"] != s["p"]))
+
+    def result(kept: Column) -> Column:
+        text = F.array_join(F.transform(kept, lambda s: F.substring(F.element_at(charset, s["b"] + 1), 1, 1)), "")
+        return F.struct(text.alias("text"), mean_or_zero(F.transform(kept, lambda s: s["v"])).alias("confidence"))
+
+    return let(let(rows, lambda rows: let(F.transform(rows, lambda r: argmax(r)), lambda best: written(rows, best))), result)
 
 
 def two_rows(upper: Column, lower: Column) -> Column:
@@ -55,9 +63,10 @@ def yolox_row(row: Column, grid_x: Column, grid_y: Column, stride: Column) -> Co
     return F.struct(*(v.cast("float").alias(n) for v, n in ((cx - w / 2, "x1"), (cy - h / 2, "y1"), (cx + w / 2, "x2"), (cy + h / 2, "y2"), (score, "score"))), best.alias("class_id"))
 
 
-def nanodet_row(scores: Column, distances: Column, grid_x: Column, grid_y: Column, stride: float, side: int, bins: int = 8) -> Column:
+def nanodet_row(scores: Column, distances: Column, grid_x: Column, grid_y: Column, stride: float, side: int, bins: int | Column = 8) -> Column:
     """Box of an anchor from four edge distributions of ``bins`` entries, clamped to the input."""
-    edge = [distribution_expectation(F.slice(distances, 1 + k * bins, bins), stride).cast("double") for k in range(4)]
+    bins = F.lit(bins) if isinstance(bins, int) else bins
+    edge = [distribution_expectation(F.slice(distances, bins * k + 1, bins), stride).cast("double") for k in range(4)]
     cx, cy = grid_x * stride + (stride - 1) / 2, grid_y * stride + (stride - 1) / 2
     lim = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(float(side)), v)).cast("float")
     best = argmax(scores)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .tensor import half_up
+from .tensor import half_up, let
 
 #: Labels of eight directions clockwise from "right" in image coordinates, and of no motion.
 DIRECTIONS = ("右", "右下", "下", "左下", "左", "左上", "上", "右上")
@@ -204,16 +204,14 @@ def is_convex(points: Column) -> Column:
 
 def quad_ratio(points: Column) -> Column:
     """Longer over shorter mean of opposite edges; 0 for a flat quadrilateral."""
-    e = edge_lengths(points)
-    w, h = (e[0] + e[2]) / 2, (e[1] + e[3]) / 2
-    return F.when((w <= 0) | (h <= 0), F.lit(0.0)).otherwise(F.greatest(w, h) / F.least(w, h))
+    means = let(edge_lengths(points), lambda e: F.struct(((e[0] + e[2]) / 2).alias("w"), ((e[1] + e[3]) / 2).alias("h")))
+    return let(means, lambda m: F.when((m["w"] <= 0) | (m["h"] <= 0), F.lit(0.0)).otherwise(F.greatest(m["w"], m["h"]) / F.least(m["w"], m["h"])))
 
 
 def edge_deviation(points: Column) -> Column:
     """Largest relative difference of opposite edges."""
-    e = edge_lengths(points)
-    pair = lambda i: F.when(F.greatest(e[i], e[i + 2]) <= 0, F.lit(1.0)).otherwise(F.abs(e[i] - e[i + 2]) / F.greatest(e[i], e[i + 2]))
-    return F.greatest(pair(0), pair(1))
+    pair = lambda e, i: F.when(F.greatest(e[i], e[i + 2]) <= 0, F.lit(1.0)).otherwise(F.abs(e[i] - e[i + 2]) / F.greatest(e[i], e[i + 2]))
+    return let(edge_lengths(points), lambda e: F.greatest(pair(e, 0), pair(e, 1)))
 
 
 def touches_border(points: Column, w: Column, h: Column, margin: int) -> Column:
@@ -221,7 +219,7 @@ def touches_border(points: Column, w: Column, h: Column, margin: int) -> Column:
 
 
 def edge_lengths(points: Column) -> Column:
-    return F.zip_with(points, _next(points), lambda a, b: F.sqrt(((a["x"] - b["x"]) * (a["x"] - b["x"]) + (a["y"] - b["y"]) * (a["y"] - b["y"])).cast("double")))
+    return let(points, lambda q: F.zip_with(q, _next(q), lambda a, b: F.sqrt(((a["x"] - b["x"]) * (a["x"] - b["x"]) + (a["y"] - b["y"]) * (a["y"] - b["y"])).cast("double"))))
 
 
 def order_corners(points: Column) -> Column:
@@ -267,3 +265,50 @@ def head_pose(left_x: Column, left_y: Column, right_x: Column, right_y: Column,
 
 def millimetres_to_pixels(mm: Column, dpi: int) -> Column:
     return half_up(mm / 25.4 * dpi).cast("int")
+
+
+def card_candidate(points: Column, area: Column, w: Column, h: Column, expected: float = 1.586, tolerance: float = 0.25, least_area: float = 1.0, margin: int = 2) -> Column:
+    """STRUCT<points, area, ratio, ratio_score> of a contour of four corners that may be a card; null for others.
+
+    Dropped: small areas, contours that touch the border, flat ones, those
+    whose ratio or whose opposite edges deviate by more than the tolerance.
+    """
+    found = lambda p: F.struct(p.alias("p"), quad_ratio(p).alias("ratio"), edge_deviation(p).alias("skew"))
+
+    def judged(c: Column) -> Column:
+        deviation = F.abs(c["ratio"] - expected) / expected
+        fits = (area >= least_area) & ~touches_border(c["p"], w, h, margin) & (c["ratio"] > 0) & (deviation <= tolerance) & (c["skew"] <= tolerance)
+        return F.when(fits, F.struct(c["p"].alias("points"), area.cast("double").alias("area"), c["ratio"].alias("ratio"), (1 - deviation / tolerance).alias("ratio_score")))
+
+    return let(points, lambda p: F.when(F.size(p) == 4, let(found(p), judged)))
+
+
+def window_affine(box: Column, landmarks: Column | None = None, face_scale: float = 2.0, vertical_offset: float = 0.0, degrees: float = 0.0) -> Column:
+    """STRUCT<m00, m01, tx, m10, m11, ty, side>: the similarity that cuts a square window around a face.
+
+    The side is ``face_scale`` times the longer edge, rounded, 2 to 16384; with
+    ``landmarks`` (eyes first) the window turns with the line of the eyes.  A
+    box without width or height raises.
+    """
+    d = lambda c: box[c].cast("double")
+    bw, bh = d("x2") - d("x1"), d("y2") - d("y1")
+    wanted = F.greatest(bw, bh) * face_scale
+    side = F.greatest(F.lit(2.0), F.least(F.lit(16384.0), half_up(wanted).cast("double")))
+    turn = F.lit(degrees * 3.141592653589793 / 180)
+    if landmarks is not None:
+        eyes = F.atan2((landmarks[1]["y"] - landmarks[0]["y"]).cast("double"), (landmarks[1]["x"] - landmarks[0]["x"]).cast("double"))
+        turn = turn + F.when((F.size(landmarks) >= 2) & ~F.isnan(eyes), eyes).otherwise(F.lit(0.0))
+    k = side / wanted
+    cx, cy = (d("x1") + d("x2")) / 2, (d("y1") + d("y2")) / 2 + vertical_offset * bh
+    a, b = k * F.cos(turn), k * F.sin(turn)
+    out = F.struct(a.alias("m00"), b.alias("m01"), (side / 2 - (a * cx + b * cy)).alias("tx"), (-b).alias("m10"), a.alias("m11"), (side / 2 - (a * cy - b * cx)).alias("ty"), side.cast("int").alias("side"))
+    return F.when((bw > 0) & (bh > 0), out).otherwise(F.raise_error(F.lit("a face box without extent")).cast("struct<m00:double,m01:double,tx:double,m10:double,m11:double,ty:double,side:int>"))
+
+
+def window_quad(window: Column) -> Column:
+    """The window's corners LT, RT, RB, LB in image coordinates: the inverse similarity of its own corners."""
+    a, b, tx, ty, s = (window[c] for c in ("m00", "m01", "tx", "ty", "side"))
+    det = a * a + b * b
+    at = lambda x, y: F.struct(((a * (x - tx) - b * (y - ty)) / det).cast("float").alias("x"), ((b * (x - tx) + a * (y - ty)) / det).cast("float").alias("y"))
+    zero = F.lit(0.0)
+    return F.array(at(zero, zero), at(s, zero), at(s, s), at(zero, s))

@@ -118,21 +118,33 @@ def byte_features(content: Column, size: int = FEATURE_BYTES, block: int = BLOCK
 
 
 def with_content_type(df: DataFrame, types: DataFrame, label: str = "label") -> DataFrame:
-    """Left join with the content-type table; missing labels take the ``unknown`` row's defaults.
+    """Content-type columns of each label; a label that the table lacks becomes the ``unknown`` row, label included.
 
-    ``types`` is a dimension of a few hundred labels; it is broadcast only by
-    Spark's own size check.
+    A table without that row gives label and description ``unknown``, the
+    octet-stream type, group unknown, no extensions, no text.  Rows keep their
+    other columns.  ``types`` is a dimension of a few hundred labels; it is
+    broadcast only by Spark's own size check, as is its one ``unknown`` row.
     """
-    joined = df.join(types.select(F.col("label").alias("__l"), "mime_type", "grp", "description", "extensions", "is_text"), F.col(label) == F.col("__l"), "left").drop("__l")
     text = F.coalesce("is_text", F.lit(False))
-    return joined.select(
-        *df.columns,
+    info = F.struct(
+        F.col("label").alias("label"),
         F.coalesce("mime_type", F.when(text, F.lit("text/plain")).otherwise(F.lit("application/octet-stream"))).alias("mime_type"),
         F.coalesce("grp", F.lit("unknown")).alias("grp"),
-        F.coalesce("description", F.col(label)).alias("description"),
+        F.coalesce("description", "label").alias("description"),
         F.coalesce("extensions", F.array().cast("array<string>")).alias("extensions"),
         text.alias("is_text"),
     )
+    none = F.struct(F.lit("unknown").alias("label"), F.lit("application/octet-stream").alias("mime_type"), F.lit("unknown").alias("grp"), F.lit("unknown").alias("description"), F.array().cast("array<string>").alias("extensions"), F.lit(False).alias("is_text"))
+    known = types.select(F.col("label").alias("__l"), info.alias("__info"))
+    other = types.where("label = 'unknown'").select(F.col("label").alias("__u"), info.alias("__other"))
+    joined = df.join(known, F.col(label) == F.col("__l"), "left").join(other, F.when(F.col("__l").isNull(), F.lit("unknown")) == F.col("__u"), "left")
+    out = F.coalesce("__info", "__other", none)
+    return joined.withColumn("__out", out).select(*(F.col("__out.label").alias(c) if c == label else F.col(c) for c in df.columns), *(F.col(f"__out.{c}").alias(c) for c in ("mime_type", "grp", "description", "extensions", "is_text")))
+
+
+def auth_reason(complete: Column, feature: Column, similarity: Column, live_score: Column, threshold: float = 0.35, live_least: float = 0.85) -> Column:
+    """Outcome of a submitted live check, the first of: ACTION_INCOMPLETE, LIVENESS_FAILED (no feature), SIMILARITY_TOO_LOW, LIVENESS_FAILED, OK."""
+    return gate_reason([(complete, "ACTION_INCOMPLETE"), (feature.isNotNull(), "LIVENESS_FAILED"), (similarity >= F.lit(threshold).cast("float"), "SIMILARITY_TOO_LOW"), (live_score >= live_least, "LIVENESS_FAILED")])
 
 
 def gate_reason(checks: list[tuple[Column, str]], passed: str = "OK") -> Column:

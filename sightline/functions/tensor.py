@@ -7,6 +7,8 @@ prunes and pushes around them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,36 +20,37 @@ def _sum(a: Column, kind: str = "double") -> Column:
     return F.aggregate(a, zero, lambda s, x: (s + x).cast(kind))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row, however often the body uses it, inside lambdas too."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _exps(v: Column, kind: str = "double") -> Column:
+    """Exponentials shifted by the maximum."""
+    return let(v, lambda v: let(F.array_max(v), lambda m: F.transform(v, lambda x: F.exp((x - m).cast("double")).cast(kind))))
+
+
 def softmax(v: Column) -> Column:
     """Shifted by the maximum, summed in double, float32 out."""
-    m = F.array_max(v)
-    e = F.transform(v, lambda x: F.exp((x - m).cast("double")))
-    total = _sum(e)
-    return F.transform(e, lambda x: (x / total).cast("float"))
+    return let(_exps(v), lambda e: let(_sum(e), lambda total: F.transform(e, lambda x: (x / total).cast("float"))))
 
 
 def softmax_or_uniform(v: Column) -> Column:
     """Exponentials kept as float32, summed in double; uniform where the sum is under 1e-10."""
-    m = F.array_max(v)
-    e = F.transform(v, lambda x: F.exp((x - m).cast("double")).cast("float"))
-    total = _sum(F.transform(e, lambda x: x.cast("double")))
-    n = F.size(v)
-    return F.transform(e, lambda x: F.when(total < TINY, (F.lit(1.0) / n).cast("float")).otherwise((x.cast("double") / total).cast("float")))
+    even = lambda e: F.transform(e, lambda x: (F.lit(1.0) / F.size(e)).cast("float"))
+    share = lambda e, total: F.transform(e, lambda x: (x.cast("double") / total).cast("float"))
+    return let(_exps(v, "float"), lambda e: let(F.aggregate(e, F.lit(0.0), lambda s, x: s + x.cast("double")), lambda total: F.when(total < TINY, even(e)).otherwise(share(e, total))))
 
 
 def softmax_float_sum(v: Column, length: int = 7) -> Column:
     """Summed in float32; vectors of another length are returned as they are."""
-    m = F.array_max(v)
-    e = F.transform(v, lambda x: F.exp((x - m).cast("double")).cast("float"))
-    total = _sum(e, "float")
-    return F.when(F.size(v) == length, F.transform(e, lambda x: (x / total).cast("float"))).otherwise(v)
+    out = let(_exps(v, "float"), lambda e: let(_sum(e, "float"), lambda total: F.transform(e, lambda x: (x / total).cast("float"))))
+    return F.when(F.size(v) == length, out).otherwise(v)
 
 
 def softmax_at(v: Column, i: Column) -> Column:
     """Softmax probability of the entry with 0-based number ``i``."""
-    m = F.array_max(v)
-    total = _sum(F.transform(v, lambda x: F.exp((x - m).cast("double"))))
-    return (F.exp((F.element_at(v, i + 1) - m).cast("double")) / total).cast("float")
+    return let(_exps(v), lambda e: (F.element_at(e, i + 1) / _sum(e)).cast("float"))
 
 
 def sigmoid(v: Column) -> Column:
@@ -57,7 +60,7 @@ def sigmoid(v: Column) -> Column:
 def argmax(v: Column) -> Column:
     """0-based number of the first largest entry; NaN never wins; -1 for an empty vector."""
     clean = F.transform(v, lambda x: F.when(F.isnan(x), F.lit(float("-inf")).cast("float")).otherwise(x))
-    return (F.array_position(clean, F.array_max(clean)) - 1).cast("int")
+    return let(clean, lambda c: (F.array_position(c, F.array_max(c)) - 1).cast("int"))
 
 
 def top_k(scores: Column, labels: Column, k: int) -> Column:
@@ -87,8 +90,7 @@ def norm(v: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """Unit length; a vector with norm under 1e-10 is returned as it is."""
-    n = norm(v)
-    return F.when(n < TINY, v).otherwise(F.transform(v, lambda x: (x / n).cast("float")))
+    return let(v, lambda v: let(norm(v), lambda n: F.when(n < TINY, v).otherwise(F.transform(v, lambda x: (x / n).cast("float")))))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -109,10 +111,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def distribution_expectation(v: Column, stride: float) -> Column:
     """Expected bin of a softmax distribution, times the stride."""
-    m = F.array_max(v)
-    e = F.transform(v, lambda x: F.exp((x - m).cast("double")))
-    weighted = _sum(F.transform(e, lambda x, i: x * i))
-    return (weighted / _sum(e) * stride).cast("float")
+    return let(_exps(v), lambda e: (_sum(F.transform(e, lambda x, i: x * i)) / _sum(e) * stride).cast("float"))
 
 
 def geometric_score(cls: Column, obj: Column) -> Column:
@@ -123,8 +122,17 @@ def geometric_score(cls: Column, obj: Column) -> Column:
 
 def minmax(v: Column) -> Column:
     """(x - min) / (max - min); all 0 where the range is under 1e-8."""
-    lo, hi = F.array_min(v), F.array_max(v)
-    return F.transform(v, lambda x: F.when(hi - lo < 1e-8, F.lit(0.0).cast("float")).otherwise(((x - lo) / (hi - lo)).cast("float")))
+    ends = F.struct(F.array_min(v).alias("lo"), F.array_max(v).alias("hi"))
+    return let(v, lambda v: let(ends, lambda r: F.transform(v, lambda x: F.when(r["hi"] - r["lo"] < 1e-8, F.lit(0.0).cast("float")).otherwise(((x - r["lo"]) / (r["hi"] - r["lo"])).cast("float")))))
+
+
+def as_matrix(t: Column) -> Column:
+    """(steps, classes) of a tensor [T, C, 1], [T, 1, C] or [1, T, C], tried in this order; empty stays empty, others raise."""
+    a, b, c = F.size(t), F.size(t[0]), F.size(t[0][0])
+    none = F.array().cast("array<array<float>>")
+    flat = F.transform(t, lambda r: F.transform(r, lambda x: x[0]))
+    wrong = F.raise_error(F.lit("a tensor of three dimensions without one of size 1")).cast("array<array<float>>")
+    return F.when((a == 0) | (b == 0) | (c == 0), none).when(c == 1, flat).when(b == 1, F.transform(t, lambda r: r[0])).when(a == 1, t[0]).otherwise(wrong)
 
 
 def mean_or_zero(v: Column) -> Column:
