@@ -33,9 +33,15 @@ def by_area(faces: DataFrame, key: str, order: str = "det_idx") -> DataFrame:
 
 
 def card_scores(cards: DataFrame, key: str) -> DataFrame:
-    """Adds ``rank_score``: the ratio's score times 0.4 + 0.6 of the area's share of the largest."""
+    """Adds ``rank_score``: the ratio's score times 0.4 + 0.6 of the area's share of the largest (1 where none has an area)."""
     top = F.max("area").over(Window.partitionBy(key))
-    return cards.withColumn("rank_score", F.col("ratio_score") * (0.4 + 0.6 * F.col("area") / top))
+    return cards.withColumn("rank_score", F.col("ratio_score") * (0.4 + 0.6 * F.when(top <= 0, F.lit(1.0)).otherwise(F.try_divide("area", top))))
+
+
+def first_reads(reads: DataFrame, key: str, order: Column | str = "det_idx", limit: int = 5, text: str = "text") -> DataFrame:
+    """The first ``limit`` candidates of an image that could be read; those without text are skipped and don't count."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    return reads.where(F.col(text) != "").withColumn("place", place - 1).where(F.col("place") < limit)
 
 
 def auth_progress(frames: DataFrame, session: str = "session_id", yaw_range: float = 0.20, pitch_range: float = 0.12, least_frames: int = 2) -> DataFrame:
