@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import decoding, geometry, policies, tensor
 from ..operators import choose, layout, nms, sequences, vectors
 from ..streaming import tracking
-from . import composites
+from . import composites, decoders
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -277,16 +277,14 @@ def _iou_sql(a: str, b: str, fl: str = "") -> str:
 
 
 @query(f"""
-WITH b AS (SELECT * FROM {BOXES})
-SELECT a.image_id, a.det_idx, c.det_idx AS other_idx, round({_iou_sql('a', 'c')}::DOUBLE, 5) AS iou, round({_iou_sql('a', 'c', 'floor')}::DOUBLE, 5) AS iou_floored FROM b a JOIN b c ON a.image_id = c.image_id AND c.det_idx = a.det_idx + 1
+WITH b AS (SELECT *, lead({{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'd': det_idx}}) OVER (PARTITION BY image_id ORDER BY det_idx) AS c FROM {BOXES})
+SELECT image_id, det_idx, c.d AS other_idx, round({_iou_sql('b', 'c')}::DOUBLE, 5) AS iou, round({_iou_sql('b', 'c', 'floor')}::DOUBLE, 5) AS iou_floored FROM b WHERE c IS NOT NULL
 """)
 def iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = boxes(spark, sf_dir)
-    box = F.struct("x1", "y1", "x2", "y2")
-    a = b.select("image_id", "det_idx", box.alias("a"))
-    c = b.select("image_id", (F.col("det_idx") - 1).alias("det_idx"), F.col("det_idx").alias("other_idx"), box.alias("b"))
-    out = a.join(c, ["image_id", "det_idx"])
-    return out.select("image_id", "det_idx", "other_idx", r5(geometry.iou(F.col("a"), F.col("b"))).alias("iou"), r5(geometry.iou_floored(F.col("a"), F.col("b"))).alias("iou_floored"))
+    """Each box with the next of its image: one window, one shuffle."""
+    box = F.struct("x1", "y1", "x2", "y2", F.col("det_idx").alias("d"))
+    out = boxes(spark, sf_dir).withColumn("a", box).withColumn("c", F.lead("a").over(Window.partitionBy("image_id").orderBy("det_idx"))).where("c is not null")
+    return out.select("image_id", "det_idx", F.col("c.d").alias("other_idx"), r5(geometry.iou(F.col("a"), F.col("c"))).alias("iou"), r5(geometry.iou_floored(F.col("a"), F.col("c"))).alias("iou_floored"))
 
 
 def _nms_sql(limit: str, fl: str = "", cap: int = 0, source: str = BOXES, result: str = "SELECT image_id, CAST(rank AS INT) AS rank, o.d AS det_idx FROM u") -> str:
@@ -336,7 +334,10 @@ def nms_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_nms_sql("0.5::FLOAT"))
 def similar_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _kept(nms.quadrilaterals(boxes(spark, sf_dir), ["image_id"]))
+    """Boxes as quadrilaterals of four corners, whose polygons overlap as the boxes do."""
+    corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    quad = F.array(corner("x1", "y1"), corner("x2", "y1"), corner("x2", "y2"), corner("x1", "y2"))
+    return _kept(nms.quadrilaterals(boxes(spark, sf_dir).withColumn("points", quad), ["image_id"]))
 
 
 RAW = f"""(SELECT image_id, det_idx AS row_idx, (det_idx % 27)::FLOAT AS cls, (score / 10)::FLOAT AS score, x1, y1, x2, y2, (det_idx * 7 % 31)::FLOAT AS order_key FROM {BOXES})"""
@@ -702,7 +703,7 @@ def plate_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH t AS (SELECT n_name AS label, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE 'type/' || n_nationkey END AS mime_type, n_nationkey % 2 = 0 AS is_text FROM nation WHERE n_nationkey % 5 <> 0)
-SELECT s_suppkey, n_name AS label, coalesce(t.mime_type, CASE WHEN coalesce(t.is_text, false) THEN 'text/plain' ELSE 'application/octet-stream' END) AS mime_type, 'unknown' AS grp, n_name AS description, coalesce(t.is_text, false) AS is_text
+SELECT s_suppkey, coalesce(t.label, 'unknown') AS label, coalesce(t.mime_type, CASE WHEN coalesce(t.is_text, false) THEN 'text/plain' ELSE 'application/octet-stream' END) AS mime_type, 'unknown' AS grp, coalesce(t.label, 'unknown') AS description, coalesce(t.is_text, false) AS is_text
 FROM supplier JOIN nation ON n_nationkey = s_nationkey LEFT JOIN t ON t.label = n_name
 """)
 def registry_lookup_default(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -787,3 +788,119 @@ def tracker_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def video_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return composites.video_summary(tracking.track_events(frames(spark, sf_dir), demo_engine))
+
+
+# --- whole decoders, tiles, plates, cards --------------------------------------------
+
+@query(f"""
+WITH r AS (SELECT vec_id, i AS anchor, list_transform(embedding[i * 8 + 1:i * 8 + 8], lambda x: CAST(abs(x) * 3 AS FLOAT)) AS r FROM embeddings, range(0, 5) t(i)),
+s AS (SELECT vec_id, CASE WHEN anchor < 4 THEN 0 ELSE 1 END AS level, CASE WHEN anchor < 4 THEN anchor ELSE 0 END AS a, CASE WHEN anchor < 4 THEN 8 ELSE 16 END AS s, r, list_max(r[6:8]) AS best FROM r),
+b AS (SELECT vec_id, level, a, s, (r[1]::DOUBLE + a % (16 // s)) * s AS cx, (r[2]::DOUBLE + a // (16 // s)) * s AS cy, exp(r[3]::DOUBLE) * s AS w, exp(r[4]::DOUBLE) * s AS h, (r[5]::DOUBLE * best)::FLOAT AS score, list_position(r[6:8], best) - 1 AS class_id FROM s)
+SELECT vec_id, level, a AS anchor, round((cx - w / 2)::FLOAT::DOUBLE, 4) + 0.0 AS x1, round((cy - h / 2)::FLOAT::DOUBLE, 4) + 0.0 AS y1, round((cx + w / 2)::FLOAT::DOUBLE, 4) + 0.0 AS x2, round((cy + h / 2)::FLOAT::DOUBLE, 4) + 0.0 AS y2, round(score::DOUBLE, 5) AS score, class_id::INT AS class_id
+FROM b WHERE score >= 0.2::FLOAT
+""")
+def yolox_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole output of two levels: a grid of 2 x 2 of stride 8, one cell of stride 16."""
+    rows = F.array(*(F.transform(F.slice("embedding", 8 * i + 1, 8), lambda x: (F.abs(x) * 3).cast("float")) for i in range(5)))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", rows.alias("out"))
+    got = decoders.yolox(e, ["vec_id"], "out", side=16, threshold=0.2, strides=(8, 16))
+    side = [(F.round(F.col(c).cast("double"), 4) + 0.0).alias(c) for c in ("x1", "y1", "x2", "y2")]
+    return got.select("vec_id", "det_idx.level", "det_idx.anchor", *side, F.round(F.col("score").cast("double"), 5).alias("score"), "class_id")
+
+
+@query("""
+WITH a AS (SELECT vec_id, i AS anchor, list_transform(embedding[i * 4 + 1:i * 4 + 4], lambda x: CAST(x * 5 AS FLOAT)) AS d, list_transform(embedding[33 + i * 5:37 + i * 5], lambda x: CAST(x * 5 AS FLOAT)) AS c FROM embeddings, range(0, 4) t(i)),
+b AS (SELECT vec_id, anchor, list_max(c) AS score, list_position(c, list_max(c)) - 1 AS class_id, anchor % 2 * 8 + 3.5 AS cx, anchor // 2 * 8 + 3.5 AS cy FROM a)
+SELECT vec_id, anchor::INT AS anchor, round(greatest(0, least(16, cx - 0))::FLOAT::DOUBLE, 4) AS x1, round(greatest(0, least(16, cy - 0))::FLOAT::DOUBLE, 4) AS y1, round(score::DOUBLE, 5) AS score, class_id::INT AS class_id FROM b WHERE score > 0 AND score >= 0.3::FLOAT
+""")
+def nanodet_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole output of one level, heads in either order; boxes of one bin have no extent."""
+    part = lambda first, n: F.array(*(F.transform(F.slice("embedding", first + n * i, n), lambda x: (x * 5).cast("float")) for i in range(4)))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", part(1, 4).alias("d"), part(33, 5).alias("c"))
+    got = decoders.nanodet(e, ["vec_id"], ["d", "c"], side=16, threshold=0.3, strides=(8,))
+    return got.select("vec_id", F.col("det_idx.anchor").alias("anchor"), *((F.round(F.col(c).cast("double"), 4)).alias(c) for c in ("x1", "y1")), F.round(F.col("score").cast("double"), 5).alias("score"), "class_id")
+
+
+@query("""
+WITH a AS (SELECT vec_id, i AS anchor, list_transform(embedding[i * 16 + 1:i * 16 + 16], lambda x: CAST(x * 4 AS FLOAT)) AS r FROM embeddings, range(0, 4) t(i)),
+f AS (SELECT vec_id, anchor, r, sqrt(greatest(0, least(1, r[1]::DOUBLE)) * greatest(0, least(1, r[2]::DOUBLE)))::FLOAT AS score, (anchor % 2 + r[3]::DOUBLE) * 8 AS cx, (anchor // 2 + r[4]::DOUBLE) * 8 AS cy, exp(r[5]::DOUBLE) * 8 AS w, exp(r[6]::DOUBLE) * 8 AS h FROM a),
+b AS (SELECT vec_id, anchor, score, greatest(0, least(20, ((cx - w / 2) / 0.5)::FLOAT)) AS x1, greatest(0, least(24, ((cy - h / 2) / 0.5)::FLOAT)) AS y1, greatest(0, least(20, ((cx + w / 2) / 0.5)::FLOAT)) AS x2, greatest(0, least(24, ((cy + h / 2) / 0.5)::FLOAT)) AS y2,
+  greatest(0, least(20, (((anchor % 2 + r[7]) * 8) / 0.5)::FLOAT)) AS mx FROM f)
+SELECT vec_id, anchor::INT AS anchor, round(score::DOUBLE, 5) AS score, round(x1::DOUBLE, 3) AS x1, round(y1::DOUBLE, 3) AS y1, round(x2::DOUBLE, 3) AS x2, round(y2::DOUBLE, 3) AS y2, round(mx::DOUBLE, 3) AS mark_x FROM b WHERE score >= 0.3::FLOAT AND x2 - x1 >= 1 AND y2 - y1 >= 1
+""")
+def yunet_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole output of one level with clipping to an image of 20 x 24 at scale 1/2."""
+    row = lambda i, first, n: F.transform(F.slice("embedding", 16 * i + first, n), lambda x: (x * 4).cast("float"))
+    head = lambda first, n: F.array(*(row(i, first, n) for i in range(4)))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", head(1, 1).alias("c"), head(2, 1).alias("o"), head(3, 4).alias("b"), head(7, 10).alias("k"), F.lit(0.5).alias("scale"), F.lit(20).alias("width"), F.lit(24).alias("height"))
+    got = decoders.yunet(e, ["vec_id"], {8: ("c", "o", "b", "k")}, 16, threshold=0.3)
+    r3 = lambda c, n: F.round(c.cast("double"), 3).alias(n)
+    return got.select("vec_id", F.col("det_idx.anchor").alias("anchor"), F.round(F.col("score").cast("double"), 5).alias("score"), *(r3(F.col(c), c) for c in ("x1", "y1", "x2", "y2")), r3(F.col("landmarks")[0]["x"], "mark_x"))
+
+
+@query(_nms_sql("0.3::FLOAT", "floor", source=f"(SELECT image_id, det_idx, score, class_id, x1 + class_id * 40 AS x1, y1 AS y1, x2 + class_id * 40 AS x2, y2 AS y2 FROM {BOXES})"))
+def faces_tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of two tiles side by side, moved to the image and suppressed over it."""
+    b = boxes(spark, sf_dir).withColumn("tile_x", F.col("class_id") * 40).withColumn("tile_y", F.lit(0))
+    return _kept(nms.tiled_faces(b, ["image_id"]))
+
+
+@query("""
+WITH r AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 3 = 0 THEN '' ELSE 'P' || l_partkey END AS text FROM lineitem),
+k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, text) - 1 AS place FROM r WHERE text <> '')
+SELECT l_orderkey, l_linenumber, text, place::INT AS place FROM k WHERE place < 2
+""")
+def plate_first_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most two plates an image that could be read; empty reads do not count."""
+    r = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_partkey") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("P"), F.col("l_partkey").cast("string"))).alias("text"))
+    return choose.first_reads(r, "l_orderkey", F.struct("l_linenumber", "text"), 2)
+
+
+@query(f"""
+WITH c AS (SELECT *, (x2 - x1)::DOUBLE AS w, (y2 - y1 - det_idx % 7)::DOUBLE AS h FROM {BOXES}),
+q AS (SELECT *, CASE WHEN w <= 0 OR h <= 0 THEN 0 ELSE greatest(w, h) / least(w, h) END AS ratio FROM c)
+SELECT image_id, det_idx, round(ratio, 5) AS ratio, round(1 - abs(ratio - 1.2) / 1.2 / 0.25, 5) + 0.0 AS ratio_score FROM q
+WHERE ratio > 0 AND abs(ratio - 1.2) / 1.2 <= 0.25 AND w * h >= 20 AND NOT (least(x1, x2) <= 2 OR least(y1, y1 + h) <= 2 OR greatest(x1, x2) >= 77 OR greatest(y1, y1 + h) >= 77)
+""")
+def card_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of changed height as card contours in images of 80 x 80."""
+    low = F.col("y2") - F.col("det_idx") % 7
+    corner = lambda x, y: F.struct(F.col(x).cast("double").alias("x"), y.cast("double").alias("y"))
+    quad = F.array(corner("x1", F.col("y1")), corner("x2", F.col("y1")), corner("x2", low), corner("x1", low))
+    area = (F.col("x2") - F.col("x1")) * (low - F.col("y1"))
+    c = boxes(spark, sf_dir).select("image_id", "det_idx", geometry.card_candidate(quad, area, F.lit(80), F.lit(80), expected=1.2, least_area=20.0).alias("c")).where("c is not null")
+    return c.select("image_id", "det_idx", r5(F.col("c.ratio")).alias("ratio"), r5(F.col("c.ratio_score")).alias("ratio_score"))
+
+
+@query(f"""
+WITH b AS (SELECT *, greatest(x2 - x1, y2 - y1)::DOUBLE * 1.3 AS want, (x1::DOUBLE + x2) / 2 AS cx, (y1::DOUBLE + y2) / 2 + 0.1 * (y2 - y1)::DOUBLE AS cy FROM {BOXES}),
+s AS (SELECT *, greatest(2, floor(want + 0.5)) AS side FROM b), k AS (SELECT *, side / want AS k FROM s)
+SELECT image_id, det_idx, side::INT AS side, round(k, 5) AS m00, round(side / 2 - k * cx, 4) + 0.0 AS tx, round(side / 2 - k * cy, 4) + 0.0 AS ty, round((cx - want / 2)::FLOAT::DOUBLE, 3) + 0.0 AS qx, round((cy + want / 2)::FLOAT::DOUBLE, 3) + 0.0 AS qy FROM k
+""")
+def avatar_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = boxes(spark, sf_dir).select("image_id", "det_idx", geometry.window_affine(F.struct("x1", "y1", "x2", "y2"), face_scale=1.3, vertical_offset=0.1).alias("w"))
+    quad = geometry.window_quad(F.col("w"))
+    r4 = lambda c, n, k=4: (F.round(c.cast("double"), k) + 0.0).alias(n)
+    return b.select("image_id", "det_idx", "w.side", r4(F.col("w.m00"), "m00", 5), r4(F.col("w.tx"), "tx"), r4(F.col("w.ty"), "ty"), r4(quad[0]["x"], "qx", 3), r4(quad[2]["y"], "qy", 3))
+
+
+@query("""
+WITH m AS (SELECT vec_id, i AS step, embedding[i * 8 + 1:i * 8 + 8] AS r FROM embeddings, range(0, 8) t(i))
+SELECT vec_id, step::INT AS step, round(list_sum(list_transform(r, lambda x: x::DOUBLE)), 5) + 0.0 AS total FROM m
+""")
+def matrix_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captcha outputs in three shapes, one matrix of 8 steps by 8 classes."""
+    rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", i * 8 + 1, 8))
+    deep, flat, one = F.transform(rows, lambda r: F.transform(r, lambda x: F.array(x))), F.transform(rows, lambda r: F.array(r)), F.array(rows)
+    kind = F.when(F.col("vec_id") % 3 == 0, deep).when(F.col("vec_id") % 3 == 1, flat).otherwise(one)
+    m = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(tensor.as_matrix(kind)).alias("step", "r"))
+    return m.select("vec_id", "step", r5(F.aggregate("r", F.lit(0.0), lambda s, x: s + x)).alias("total"))
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'ACTION_INCOMPLETE' WHEN o_orderkey % 7 = 0 THEN 'LIVENESS_FAILED' WHEN (o_custkey % 100) / 100.0 < 0.35 THEN 'SIMILARITY_TOO_LOW' WHEN (o_orderkey % 10) / 10.0 < 0.85 THEN 'LIVENESS_FAILED' ELSE 'OK' END AS reason FROM orders
+""")
+def auth_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    near = (F.col("o_custkey") % 100 / 100).cast("float")
+    return o.select("o_orderkey", policies.auth_reason(F.col("o_orderkey") % 4 != 0, F.when(F.col("o_orderkey") % 7 != 0, F.array(F.lit(1.0))), near, F.col("o_orderkey") % 10 / 10).alias("reason"))

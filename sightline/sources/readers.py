@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.policies import BLOCK_BYTES, lines
@@ -31,11 +33,28 @@ def head_tail(content: Column, block: int = BLOCK_BYTES) -> tuple[Column, Column
     return head, F.when(F.octet_length(content) <= block, head).otherwise(F.substring(content, -block, block))
 
 
+def path_label(spark: SparkSession, path: str) -> str | None:
+    """``directory``, ``unknown`` for what is no regular file, null for a regular file; a missing path fails.
+
+    A driver-side look at one path, before :func:`files` reads it.
+    """
+    if "://" not in path or path.startswith("file:"):
+        local = Path(path.removeprefix("file://").removeprefix("file:"))
+        if not local.exists():
+            raise FileNotFoundError(path)
+        return "directory" if local.is_dir() else None if local.is_file() else "unknown"
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        raise FileNotFoundError(path)
+    status = fs.getFileStatus(p)
+    return "directory" if status.isDirectory() else None if status.isFile() else "unknown"
+
+
 def labels(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """index, label of the non-blank trimmed lines of one text, in order; no label at all fails."""
-    rows = texts.select(F.posexplode(lines(F.col(text_col))).alias("line", "label")).select("line", F.trim("label").alias("label")).where("label != ''")
-    out = rows.select((F.row_number().over(Window.orderBy("line")) - 1).alias("index"), "label")
-    return out
+    """index, label of the non-blank trimmed lines of each text, in order; a text without label fails."""
+    return texts.select(F.posexplode(label_array(F.col(text_col))).alias("index", "label"))
 
 
 def label_array(text: Column) -> Column:
@@ -78,3 +97,36 @@ def frames(payloads: DataFrame, stream_col: str = "stream_id", json_col: str = "
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("error").json(path)
+
+
+def write_images(df: DataFrame, path: str, form: str = "png", quality: int = 95, codec=None, name: str = "name", content: str = "pixels", width: str = "width", height: str = "height", channels: int = 3) -> DataFrame:
+    """Write raw images as files ``path``/name.form; returns file, bytes (lazily: write or count it once).
+
+    PNG and BMP are written here; for jpg and webp the caller gives
+    ``codec(image, form, quality)``.  Quality is clamped to 1 .. 100.  A file
+    is written under its final name by whichever attempt ends, always with the
+    same content.
+    """
+    if codec is None and form not in ("png", "bmp"):
+        raise ValueError(f"{form} needs a codec")
+    quality = min(100, max(1, quality))
+
+    def run(frames):
+        import pandas as pd
+        from pyarrow import fs
+
+        from ..functions.pixels import encode, image
+
+        for pdf in frames:
+            rows = []
+            for n, raw, w, h in zip(pdf[name], pdf[content], pdf[width], pdf[height], strict=True):
+                img = image(raw, int(w), int(h), channels)
+                data = codec(img, form, quality) if codec else encode(img, form)
+                f, p = fs.FileSystem.from_uri(f"{path}/{n}.{form}")
+                f.create_dir(p.rpartition("/")[0], recursive=True)
+                with f.open_output_stream(p) as out:
+                    out.write(data)
+                rows.append((f"{path}/{n}.{form}", len(data)))
+            yield pd.DataFrame(rows, columns=["file", "bytes"])
+
+    return df.select(name, content, width, height).mapInPandas(run, "file string, bytes long")
