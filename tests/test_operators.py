@@ -1,12 +1,14 @@
 """Boundary cases of functions and operators with known answers."""
 
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sightline.functions import decoding, geometry, pixels, policies, tensor
 from sightline.operators import choose, layout, nms, sequences, vectors
-from sightline.plans import composites, inference
+from sightline.plans import composites, decoders, inference
 from sightline.sources import readers
 
 
@@ -178,3 +180,106 @@ def test_photo_reason(spark):
     assert val(spark, composites.photo_reason(F.lit(0), F.lit(1.0), F.lit(True))) == "NO_FACE"
     assert val(spark, composites.photo_reason(F.lit(1), F.lit(0.1), F.lit(True), gate=True)) == "LOW_QUALITY"
     assert val(spark, composites.labels_match(F.array(F.lit("b"), F.lit("a")), ["a", "b"]))
+
+
+def test_unknown_labels_take_the_unknown_row(spark):
+    df = spark.createDataFrame([(1, "pdf"), (2, "zzz"), (3, None)], "id int, label string")
+    kinds = "label string, mime_type string, grp string, description string, extensions array<string>, is_text boolean"
+    some = [("pdf", None, "document", None, ["pdf"], None), ("unknown", "a/b", "g", "Unknown data", None, False)]
+    got = {r.id: r for r in policies.with_content_type(df, spark.createDataFrame(some, kinds)).collect()}
+    assert (got[1].label, got[1].mime_type, got[1].description, got[1].is_text) == ("pdf", "application/octet-stream", "pdf", False)
+    assert [(got[i].label, got[i].mime_type, got[i].grp, got[i].description) for i in (2, 3)] == [("unknown", "a/b", "g", "Unknown data")] * 2
+    got = {r.id: r for r in policies.with_content_type(df, spark.createDataFrame(some[:1], kinds)).collect()}
+    assert (got[2].label, got[2].mime_type, got[2].description, got[2].extensions) == ("unknown", "application/octet-stream", "unknown", [])
+
+
+def test_cards_without_area(spark):
+    rows = choose.card_scores(spark.createDataFrame([(1, 0.0, 0.5), (1, 0.0, 1.0), (2, 4.0, 1.0), (2, 2.0, 1.0)], "k int, area double, ratio_score double"), "k").collect()
+    assert sorted(round(r.rank_score, 6) for r in rows) == [0.5, 0.7, 1.0, 1.0]
+
+
+def test_similar_quadrilaterals_by_polygon(spark):
+    """Diamonds in the same bounding box as a square overlap it by half only."""
+    p = "id int, k int, score double, points array<struct<x:double,y:double>>"
+    square, diamond = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)], [(5.0, 0.0), (10.0, 5.0), (5.0, 10.0), (0.0, 5.0)]
+    rows = [(1, 7, 0.9, square), (2, 7, 0.8, diamond), (3, 7, 0.7, [(x + 1, y) for x, y in square])]
+    df = spark.createDataFrame(rows, p)
+    assert [r.id for r in nms.quadrilaterals(df, ["k"], "id").orderBy("rank").collect()] == [1, 2]
+    assert [r.id for r in nms.quadrilaterals(df, ["k"], "id", threshold=0.4).collect()] == [1]
+
+
+def test_label_lists(spark, tmp_path):
+    got = readers.labels(spark.createDataFrame([("a\n\n b \r\nc",)], "text string")).collect()
+    assert [tuple(r) for r in got] == [(0, "a"), (1, "b"), (2, "c")]
+    with pytest.raises(Exception, match="no labels"):
+        readers.labels(spark.createDataFrame([(" \n",)], "text string")).collect()
+    (tmp_path / "f").write_text("x")
+    assert readers.path_label(spark, str(tmp_path)) == "directory" and readers.path_label(spark, str(tmp_path / "f")) is None and readers.path_label(spark, "/dev/null") == "unknown"
+    with pytest.raises(FileNotFoundError):
+        readers.path_label(spark, str(tmp_path / "none"))
+
+
+def test_image_files(spark, tmp_path):
+    img = np.random.default_rng(3).integers(0, 255, (5, 7, 3)).astype(np.uint8)
+    df = spark.createDataFrame([("a", bytearray(img.tobytes()), 7, 5)], "name string, pixels binary, width int, height int")
+    for form in ("png", "bmp"):
+        assert readers.write_images(df, f"file://{tmp_path}/{form}", form).collect()[0].bytes == (tmp_path / form / f"a.{form}").stat().st_size
+    raw = (tmp_path / "png" / "a.png").read_bytes()
+    at = raw.index(b"IDAT")
+    rows = np.frombuffer(zlib.decompress(raw[at + 4 : at + 4 + int.from_bytes(raw[at - 4 : at], "big")]), np.uint8).reshape(5, 22)
+    assert (rows[:, 1:].reshape(5, 7, 3)[:, :, ::-1] == img).all()
+    bmp = (tmp_path / "bmp" / "a.bmp").read_bytes()
+    assert (np.frombuffer(bmp, np.uint8, offset=54).reshape(5, 24)[::-1, :21].reshape(5, 7, 3) == img).all()
+    with pytest.raises(ValueError, match="codec"):
+        readers.write_images(df, str(tmp_path), "jpg")
+
+
+def test_captcha_shapes(spark):
+    def shaped(t):
+        return val(spark, tensor.as_matrix(F.array(*(F.array(*(F.array(*(F.lit(float(x)).cast("float") for x in r)) for r in m)) for m in t))))
+
+    assert shaped([[[1], [2]], [[3], [4]]]) == [[1, 2], [3, 4]] and shaped([[[1, 2]], [[3, 4]]]) == [[1, 2], [3, 4]] and shaped([[[1, 2], [3, 4]]]) == [[1, 2], [3, 4]]
+    with pytest.raises(Exception, match="size 1"):
+        shaped([[[1, 2], [3, 4]], [[1, 2], [3, 4]]])
+
+
+def test_detector_outputs_are_checked(spark):
+    df = spark.createDataFrame([(1, [[0.1] * 8] * 3, [[0.9] * 3] * 4)], "id int, d array<array<float>>, c array<array<float>>")
+    with pytest.raises(Exception, match="stride"):
+        decoders.nanodet(df, ["id"], ["d", "c"], side=16, strides=(8,)).collect()
+    with pytest.raises(ValueError, match="threshold"):
+        decoders.yolox(df, ["id"], "d", threshold=1.5)
+    with pytest.raises(ValueError, match="multiple"):
+        decoders.yolox(df, ["id"], "d", side=415)
+    marks = [[0.0] * 10, [float("nan")] + [0.0] * 9, [0.0] * 10, [0.0] * 10]
+    one = spark.createDataFrame([(1, [[1.0]] * 4, [[1.0]] * 4, [[0.5, 0.5, 0.0, 0.0]] * 3 + [[0.5, 0.5, -9.0, 0.0]], marks, 1.0, 16, 16)], "id int, c array<array<float>>, o array<array<float>>, b array<array<float>>, k array<array<float>>, scale double, width int, height int")
+    got = decoders.yunet(one, ["id"], {8: ("c", "o", "b", "k")}, 16).collect()
+    assert sorted(r.det_idx.anchor for r in got) == [0, 2]  # no number; under a pixel
+
+
+def test_softmax_is_linear(spark):
+    """A thousand classes cost about what they are, not their square or cube."""
+    import time
+
+    took = {}
+    for n in (300, 3000):
+        df = spark.range(60).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.sin(i + F.col("id")).cast("float")).alias("v")).cache()
+        df.count()
+        f = lambda: df.select(tensor.softmax(F.col("v")).alias("s"), tensor.l2_normalize(F.col("v")).alias("l"), tensor.minmax(F.col("v")).alias("m")).write.format("noop").mode("overwrite").save()  # noqa: B023, E731
+        f()
+        began = time.time()
+        f()
+        took[n] = time.time() - began
+    assert took[3000] < 40 * took[300] + 2
+
+
+def test_window_and_its_corners(spark):
+    box = F.struct(*(F.lit(v).alias(n) for n, v in (("x1", 10.0), ("y1", 20.0), ("x2", 30.0), ("y2", 60.0))))
+    eyes = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((12.0, 30.0), (22.0, 40.0))))
+    w = val(spark, geometry.window_affine(box, eyes, face_scale=2.0))
+    quad = val(spark, geometry.window_quad(geometry.window_affine(box, eyes, face_scale=2.0)))
+    assert w.side == 80
+    for p, (x, y) in zip(quad, ((0, 0), (80, 0), (80, 80), (0, 80)), strict=True):
+        assert w.m00 * p.x + w.m01 * p.y + w.tx == pytest.approx(x, abs=1e-3) and w.m10 * p.x + w.m11 * p.y + w.ty == pytest.approx(y, abs=1e-3)
+    with pytest.raises(Exception, match="extent"):
+        val(spark, geometry.window_affine(F.struct(*(F.lit(0.0).alias(n) for n in ("x1", "y1", "x2", "y2")))))
