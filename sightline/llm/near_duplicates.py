@@ -7,7 +7,8 @@ Plan
    256-bit map, so the population count of two maps' XOR tells how many samples
    differ, and with it the similarity, most precisely where it is high.
 2. Documents with equal sets collapse to a class at once (a grouped minimum),
-   whose smallest (id, text hash) stands for it.
+   whose smallest (id, text hash) stands for it and which gets a number of
+   eight bytes; buckets, links and components are of these numbers.
 3. In every band bucket each class is paired with the bucket's smallest class
    only: linear in the bucket, however hot it is.
 4. Sketch estimates discard hopeless pairs, full sets decide the others.
@@ -152,21 +153,22 @@ def _xor_bits(a: str, b: str) -> Column:
 
 
 def _verified(ws: Workspace, pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of fingerprints whose full sets reach the threshold; staged."""
-    side = lambda p: classes.select(F.col("fp").alias(p), *(F.col(c).alias(f"{p}{c}") for c in ("n", "rep", "s0", "s1", "s2", "s3")))
+    """Pairs (a, b) of class numbers whose full sets reach the threshold; staged."""
+    side = lambda p: classes.select(F.col("cls").alias(p), *(F.col(c).alias(f"{p}{c}") for c in ("n", "fp", "rep", "s0", "s1", "s2", "s3")))
     near = (
         pairs.join(side("a"), "a")
         .join(side("b"), "b")
         .where((_xor_bits("a", "b") <= sketch_limit()) & (F.least("an", "bn") * DEN >= F.greatest("an", "bn") * NUM))
-        .select("a", "b", "arep", "brep", "an", "bn")
+        .select("a", "b", "afp", "bfp", "arep", "brep", "an", "bn")
     )
     near = ws.stage(near, "near")
     # whole texts of the classes concerned only, one text a class, cut to sets anew
     # both joins read one shuffle of the sets
     sets = _sets_of(near.select(F.col("arep").alias("rep")).union(near.select("brep")), docs)
     both = (
-        near.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a")
-        .join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
+        near.drop("arep", "brep")
+        .join(sets.select(F.col("fp").alias("afp"), F.col("shingles").alias("x")), "afp")
+        .join(sets.select(F.col("fp").alias("bfp"), F.col("shingles").alias("y")), "bfp")
         .withColumn("common", F.size(F.array_intersect("x", "y")).cast("long"))
         .where(F.col("common") * DEN >= (F.col("an") + F.col("bn") - F.col("common")) * NUM)
         .select("a", "b")
@@ -209,17 +211,16 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
     return cur.select(F.col("a").alias("node"), F.col("b").alias("root")).union(cur.select("b", "b").distinct())
 
 
-def _block_links(t: pa.Table, same: bool) -> list[tuple[bytes, bytes]]:
+def _block_links(t: pa.Table, same: bool) -> list[tuple[int, int]]:
     """Links that join components inside one block of a bucket, each verified on full sets.
 
     Sketches choose whom a class is compared with; classes that a link has
     joined meanwhile are not compared again, so links are at most as many as
     rows, whatever the bucket's size.
     """
-    fp = t.column("fp").to_pylist()
-    labels: dict[bytes, int] = {}
-    label = np.array([labels.setdefault(r, len(labels)) for r in t.column("root").to_pylist()])
-    if len(labels) < 2:
+    cls = t.column("cls").to_numpy()
+    roots, label = np.unique(t.column("root").to_numpy(), return_inverse=True)
+    if len(roots) < 2:
         return []
     n = t.column("n").to_numpy()
     # unsigned: of negative numbers numpy counts the magnitude's bits
@@ -231,7 +232,7 @@ def _block_links(t: pa.Table, same: bool) -> list[tuple[bytes, bytes]]:
     start = np.concatenate([[0], np.cumsum(n)])
     mark = np.zeros(int(flat.max()) + 1, bool)
     limit, out = sketch_limit(), []
-    targets = np.arange(len(fp)) if same else np.flatnonzero(~left)
+    targets = np.arange(len(cls)) if same else np.flatnonzero(~left)
     for x in np.flatnonzero(left):
         y = targets[label[targets] != label[x]]
         if same:
@@ -250,22 +251,21 @@ def _block_links(t: pa.Table, same: bool) -> list[tuple[bytes, bytes]]:
         for v in y[common * DEN >= (n[y] + n[x] - common) * NUM]:
             if label[v] != label[x]:
                 label[label == label[v]] = label[x]
-                out.append((min(fp[x], fp[v]), max(fp[x], fp[v])))
+                out.append((int(min(cls[x], cls[v])), int(max(cls[x], cls[v]))))
     return out
 
 
 def _mixed_links(ws: Workspace, bands: DataFrame, classes: DataFrame, comp: DataFrame, docs: DataFrame) -> DataFrame:
     """Verified links between different components that share a bucket."""
-    rows = bands.join(comp, bands.fp == comp.node, "left").select("bucket", "fp", F.coalesce("root", "fp").alias("root"))
-    rows = rows.join(classes.select("fp", "rep", "n", "s0", "s1", "s2", "s3"), "fp")
-    mixed = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1 and size > 2")
+    rows = bands.join(comp, bands.cls == comp.node, "left").select("bucket", "cls", F.coalesce("root", "cls").alias("root"))
+    mixed = rows.join(classes.select("cls", "n"), "cls").groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1 and size > 2")
     mixed = mixed.select("bucket", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    rows = ws.stage(rows.join(mixed, "bucket"), "mixed")
+    rows = ws.stage(rows.join(mixed, "bucket").join(classes, "cls"), "mixed")
     sets = _sets_of(rows.select("rep"), docs)
     # a bucket's members meet in blocks: member k of block b goes to all pairs of blocks with b
-    rows = rows.join(sets, "fp").withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    rows = rows.join(sets, "fp").withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).alias("left"), "fp", "root", "n", "s0", "s1", "s2", "s3", "shingles")
+    rows = rows.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).alias("left"), "cls", "root", "n", "s0", "s1", "s2", "s3", "shingles")
     rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
     @tidy
@@ -273,7 +273,7 @@ def _mixed_links(ws: Workspace, bands: DataFrame, classes: DataFrame, comp: Data
         held, key, out = [], None, []
 
         def batch(pairs):
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.binary()) for k in (0, 1)], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for b in batches:
             if not b.num_rows:
@@ -294,7 +294,7 @@ def _mixed_links(ws: Workspace, bands: DataFrame, classes: DataFrame, comp: Data
         if out:
             yield batch(out)
 
-    out = ws.stage(rows.mapInArrow(run, "a binary, b binary").distinct(), "more")
+    out = ws.stage(rows.mapInArrow(run, "a long, b long").distinct(), "more")
     return out
 
 
@@ -325,19 +325,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     live = sig.where("fp is not null and key.id is not null")
     picked = F.struct("key", F.col("n_shingles").alias("n"), "s0", "s1", "s2", "s3", "bands")
     classes = live.groupBy("fp").agg(F.min_by(picked, "key").alias("v"))
-    classes = ws.stage(classes.select("fp", F.col("v.key").alias("rep"), *(F.col(f"v.{c}").alias(c) for c in ("n", "s0", "s1", "s2", "s3", "bands"))), "classes")
-    bands = classes.select("fp", F.explode("bands").alias("bucket"))
+    # numbers follow partitions and hold once they are stored
+    classes = ws.stage(classes.select(F.monotonically_increasing_id().alias("cls"), "fp", F.col("v.key").alias("rep"), *(F.col(f"v.{c}").alias(c) for c in ("n", "s0", "s1", "s2", "s3", "bands"))), "classes")
+    bands = classes.select("cls", F.explode("bands").alias("bucket"))
     classes = classes.drop("bands")
-    pivots = bands.groupBy("bucket").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a != z").select("bucket", "a")
+    pivots = bands.groupBy("bucket").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).where("a != z").select("bucket", "a")
     # a hot bucket's rows stream through this merge join and AQE splits it: the pivot's side has one row
     shared = ws.stage(bands.join(pivots, "bucket"), "buckets")
-    pairs = shared.where("a != fp").select("a", F.col("fp").alias("b")).distinct()
+    pairs = shared.where("a != cls").select("a", F.col("cls").alias("b")).distinct()
     links = _verified(ws, pairs, classes, src)
     comp = ws.stage(components(ws, links), "components")
-    more = _mixed_links(ws, shared.select("bucket", "fp"), classes, comp, src)
+    more = _mixed_links(ws, shared.select("bucket", "cls"), classes, comp, src)
     if more.head(1):
         comp = ws.stage(components(ws, links.union(more)), "components")
-    named = ws.stage(classes.select("fp", F.col("rep.id").alias("rep")).join(comp, classes.fp == comp.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "named")
+    named = ws.stage(classes.select("cls", "fp", F.col("rep.id").alias("rep")).join(comp, F.col("cls") == comp.node, "left").select("fp", "rep", F.coalesce("root", "cls").alias("root")), "named")
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     final = salted_join(named, least, "root", F.xxhash64("fp")).select("fp", "component_id")
     out = salted_join(live.select(F.col("key.id").alias("doc_id"), "n_shingles", "fp", "salt"), final, "fp", F.col("salt")).select("doc_id", "n_shingles", "component_id", "fp")
