@@ -43,6 +43,8 @@ SKETCH_BITS = 256
 NUM, DEN = 75, 100
 #: Most classes and shingles of a bucket in one block.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
+#: Pairs of one pivot that share a copy of its set.
+PIVOT_PAIRS = 512
 
 _rng = np.random.Generator(np.random.PCG64(0x0DD))
 _A = (_rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint64) | U64(1)).astype(np.uint32)[:, None]
@@ -165,10 +167,17 @@ def _verified(ws: Workspace, pairs: DataFrame, classes: DataFrame, docs: DataFra
     # whole texts of the classes concerned only, one text a class, cut to sets anew
     # both joins read one shuffle of the sets
     sets = _sets_of(near.select(F.col("arep").alias("rep")).union(near.select("brep")), docs)
+    x, y = (sets.select(F.col("fp").alias(f"{p}fp"), F.col("shingles").alias(v)) for p, v in (("a", "x"), ("b", "y")))
+    # a class is b in one pair a band at most; as a it may be the pivot of any number, which copies of its set share
+    hot = near.groupBy("afp").agg(F.count("*").alias("pairs")).where(F.col("pairs") > PIVOT_PAIRS).select("afp", F.ceil(F.col("pairs") / PIVOT_PAIRS).cast("int").alias("parts"))
+    near_x = near.drop("arep", "brep").join(hot, "afp", "left")
+    cold = near_x.where("parts is null").drop("parts").join(x, "afp")
+    dealt = near_x.where("parts is not null").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).drop("parts")
+    copies = hot.join(x, "afp").select("afp", "x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    warm = dealt.join(copies, ["afp", "part"]).drop("part")
     both = (
-        near.drop("arep", "brep")
-        .join(sets.select(F.col("fp").alias("afp"), F.col("shingles").alias("x")), "afp")
-        .join(sets.select(F.col("fp").alias("bfp"), F.col("shingles").alias("y")), "bfp")
+        cold.unionByName(warm)
+        .join(y, "bfp")
         .withColumn("common", F.size(F.array_intersect("x", "y")).cast("long"))
         .where(F.col("common") * DEN >= (F.col("an") + F.col("bn") - F.col("common")) * NUM)
         .select("a", "b")

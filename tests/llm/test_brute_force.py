@@ -59,6 +59,21 @@ def test_repeated_rows_stage_one_link(spark, monkeypatch):
     assert max(seen) <= 1
 
 
+def test_hot_pivot_dealt_over_copies_of_its_set(spark, monkeypatch):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base[:59] + [f"x{i}"] if i else base)) for i in range(40)] + [(40 + i, " ".join(f"v{i}_{k}" for k in range(30))) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(docs).collect()}
+    assert want == {i: 0 if i < 40 else i for i in range(45)}
+    staged, real = [], common.Workspace.stage
+    monkeypatch.setattr(near_duplicates, "PIVOT_PAIRS", 3)
+    monkeypatch.setattr(common.Workspace, "stage", lambda ws, df, name, *a, **k: staged.append((name, out := real(ws, df, name, *a, **k))) or out)
+    got = {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(docs).collect()}
+    assert got == want
+    links = next(t for name, t in staged if name == "links")
+    assert links.distinct().count() == links.count() >= 39
+
+
 def test_one_id_with_several_texts(spark):
     rows = [(7, BASE), (7, text(90, 60)), (8, edited(BASE, 1, 2)), (9, edited(text(90, 60), 1, 3))]
     got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
