@@ -169,21 +169,23 @@ def _verified(ws: Workspace, pairs: DataFrame, classes: DataFrame, docs: DataFra
     sets = _sets_of(near.select(F.col("arep").alias("rep")).union(near.select("brep")), docs)
     x, y = (sets.select(F.col("fp").alias(f"{p}fp"), F.col("shingles").alias(v)) for p, v in (("a", "x"), ("b", "y")))
     # a class is b in one pair a band at most; as a it may be the pivot of any number, which copies of its set share
-    hot = near.groupBy("afp").agg(F.count("*").alias("pairs")).where(F.col("pairs") > PIVOT_PAIRS).select("afp", F.ceil(F.col("pairs") / PIVOT_PAIRS).cast("int").alias("parts"))
-    near_x = near.drop("arep", "brep").join(hot, "afp", "left")
-    cold = near_x.where("parts is null").drop("parts").join(x, "afp")
-    dealt = near_x.where("parts is not null").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).drop("parts")
-    copies = hot.join(x, "afp").select("afp", "x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    warm = dealt.join(copies, ["afp", "part"]).drop("part")
+    hot = near.groupBy("afp").agg(F.count("*").alias("pairs")).where(F.col("pairs") > PIVOT_PAIRS)
+    hot = ws.stage(hot.select("afp", F.ceil(F.col("pairs") / PIVOT_PAIRS).cast("int").alias("parts")), "hot")
+    near_x = near.drop("arep", "brep")
+    if hot.head(1):
+        dealt = near_x.join(hot, "afp", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int"))
+        copies = x.join(hot, "afp", "left").select("afp", "x", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+        near_x = dealt.drop("parts").join(copies, ["afp", "part"]).drop("part")
+    else:
+        near_x = near_x.join(x, "afp")
     both = (
-        cold.unionByName(warm)
-        .join(y, "bfp")
+        near_x.join(y, "bfp")
         .withColumn("common", F.size(F.array_intersect("x", "y")).cast("long"))
         .where(F.col("common") * DEN >= (F.col("an") + F.col("bn") - F.col("common")) * NUM)
         .select("a", "b")
     )
     out = ws.stage(both, "links")
-    ws.drop(near)
+    ws.drop(near, hot)
     return out
 
 
@@ -209,7 +211,10 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
 
     state, cur = None, None
     while True:
-        nxt = ws.stage(star(star(edges if cur is None else cur, True), False), "star")
+        # a step reads its edges several times: staged in between, plans stay small
+        mid = ws.stage(star(edges if cur is None else cur, True), "large")
+        nxt = ws.stage(star(mid, False), "star")
+        ws.drop(mid)
         new = tuple(nxt.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
         if cur is not None:
             ws.drop(cur)

@@ -187,7 +187,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     got = each.groupBy("doc_id", "y").agg(F.min(F.struct("digest", "cells")).alias("v")).select("doc_id", "y", "v.cells").collect()
     got.sort(key=lambda r: r.doc_id)
     order = np.random.Generator(np.random.PCG64(5)).permutation(len(got))
-    return fit_arrays([got[i].cells for i in order], np.array([got[i].y for i in order], int), mix_.get(1, 0) / total)
+    model = fit_arrays([got[i].cells for i in order], np.array([got[i].y for i in order], int), mix_.get(1, 0) / total)
+    del got
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
