@@ -184,11 +184,12 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(ids, "doc_id")
     each = src.mapInArrow(run, "doc_id long, y int, cells binary, digest long")
-    got = each.groupBy("doc_id", "y").agg(F.min(F.struct("digest", "cells")).alias("v")).select("doc_id", "y", "v.cells").collect()
-    got.sort(key=lambda r: r.doc_id)
-    order = np.random.Generator(np.random.PCG64(5)).permutation(len(got))
-    model = fit_arrays([got[i].cells for i in order], np.array([got[i].y for i in order], int), mix_.get(1, 0) / total)
-    del got
+    # Arrow straight from the tasks' results: the sample is never rows on the JVM's heap or pickled
+    got = each.groupBy("doc_id", "y").agg(F.min(F.struct("digest", "cells")).alias("v")).select("doc_id", "y", "v.cells").toArrow().sort_by("doc_id")
+    order = np.random.Generator(np.random.PCG64(5)).permutation(got.num_rows)
+    y01, cells = got["y"].to_numpy()[order].astype(int), got["cells"]
+    model = fit_arrays([cells[int(i)].as_py() for i in order], y01, mix_.get(1, 0) / total)
+    del got, cells
     release()
     return model
 
