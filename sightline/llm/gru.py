@@ -21,7 +21,10 @@ WINDOW = 64
 MAX_LANES = 1024
 #: When the model learns: lanes at most, and steps a lane should have, so that updates grow with the tokens.
 LEARN_LANES, LEARN_STEPS = 256, 2048
-OUTPUT_ROWS = 4096
+#: Rows of logits at once.
+OUTPUT_ROWS = 2048
+#: Logits up to this size need no row's largest subtracted before exp: sums stay within float32.
+LOGIT_RANGE = 60
 
 
 class Model:
@@ -79,11 +82,46 @@ def lanes(lengths: np.ndarray, most: int = MAX_LANES, steps: int = 256) -> tuple
     return out, max(n for n, _ in heap)
 
 
-def _exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp(x - largest of the row) and its sums by row; ``x`` becomes x - largest."""
-    x -= x.max(1, keepdims=True)
-    e = np.exp(x)
-    return e, e.sum(1)
+def _order(x: np.ndarray, most: int) -> np.ndarray:
+    """Stable order of numbers from 0 to ``most``; by radix where 16 bits hold them."""
+    return np.argsort(x.astype(np.uint16) if most < 1 << 16 else x, kind="stable")
+
+
+def _in_range(w: np.ndarray) -> np.ndarray:
+    """Whether logits of a state have a sum of exponentials that float32 holds as they are; by layer, biases in the last row.
+
+    A state's components lie between -1 and 1, so a logit is within the sum of its weights' sizes of its bias.
+    """
+    reach, b = np.abs(w[..., :-1, :]).sum(-2), w[..., -1, :]
+    return ((b + reach).max(-1) <= LOGIT_RANGE) & ((b - reach).max(-1) >= -LOGIT_RANGE)
+
+
+def _softmax(s: np.ndarray, w: np.ndarray, fits: bool, own: np.ndarray, x: np.ndarray, weight: np.float32 | None, g: np.ndarray | None, ds: np.ndarray | None) -> np.ndarray:
+    """Log probability of column ``own`` of each row of s @ w; the last column of s is 1, the last row of w the biases.
+
+    ``fits``: what _in_range says of w.  With ``weight`` the gradients of -weight * sum(log p) are added to g and ds.  ``x`` is room for the logits; rows
+    are scaled in the narrow factors of the products, never in the logits.
+    """
+    logp = np.empty(len(s), np.float32)
+    one, rows = np.ones(w.shape[1], np.float32), np.arange(min(len(s), len(x)))
+    for lo in range(0, len(s), len(x)):  # so many rows at once stay in the cache
+        part, k = s[lo : lo + len(x)], own[lo : lo + len(x)]
+        e, at = x[: len(part)], rows[: len(part)]
+        np.matmul(part, w, out=e)
+        if not fits:
+            e -= e.max(1, keepdims=True)
+        mine = e[at, k]
+        np.exp(e, out=e)
+        total = e @ one
+        logp[lo : lo + len(x)] = mine - np.log(total)
+        if weight is not None:
+            e[at, k] -= total
+            scale = (weight / total)[:, None]
+            g += (part * scale).T @ e
+            d = e @ w[:-1].T
+            d *= scale
+            ds[lo : lo + len(x)] += d
+    return logp
 
 
 class Adagrad:
@@ -95,87 +133,81 @@ class Adagrad:
         """``seen``: the rows of X that the gradient of X is of."""
         for a, g in grads.items():
             at = seen if a == "X" else slice(None)
-            self.sum[a][at] += g * g
-            self.m.p[a][at] -= self.rate * g / np.sqrt(self.sum[a][at])
+            size = self.sum[a][at]
+            size += g * g
+            self.sum[a][at] = size
+            move = np.sqrt(size)
+            np.divide(g, move, out=move)
+            move *= self.rate
+            self.m.p[a][at] -= move
 
 
 def _forward(m: Model, h: np.ndarray, prev: np.ndarray, fresh: np.ndarray, keep: bool):
     """States before each step's target; (steps, lanes, hidden), the last state, what backward needs."""
-    X, U, n = m.p["X"], m.p["U"], HIDDEN
-    steps, wide = prev.shape
-    out = np.empty((steps, wide, n), np.float32)
-    # states before each step, gates z and r, candidates c, recurrent part of the candidates
-    kept = [np.empty((steps, wide, k), np.float32) for k in (n, 2 * n, n, n)] if keep else []
-    clear = fresh.any(1)
+    n, (steps, wide) = HIDDEN, prev.shape
+    # gates apart, so that a step's part of each is one block: z, r and candidates, at first their inputs
+    zrc = np.ascontiguousarray(m.p["X"].take(prev.ravel(), axis=0).reshape(steps, wide, 3, n).transpose(0, 2, 1, 3))
+    U = np.ascontiguousarray(m.p["U"].reshape(n, 3, n).transpose(1, 0, 2))
+    u = np.empty((steps if keep else 1, 3, wide, n), np.float32)
+    out, rc = np.empty((steps, wide, n), np.float32), np.empty((wide, n), np.float32)
+    clear, start = fresh.any(1), h
     for t in range(steps):
         if clear[t]:
             h = np.where(fresh[t][:, None], np.float32(0), h)
-        x, u = X[prev[t]], h @ U
-        zr = x[:, : 2 * n] + u[:, : 2 * n]
+        v = u[t if keep else 0]
+        np.matmul(h, U, out=v)
+        zr, c = zrc[t, :2], zrc[t, 2]
+        zr += v[:2]
         # logistic function, in place
         np.negative(zr, out=zr)
         np.exp(zr, out=zr)
         zr += 1
         np.reciprocal(zr, out=zr)
-        z, r = zr[:, :n], zr[:, n:]
-        c = r * u[:, 2 * n :]
-        c += x[:, 2 * n :]
+        c += np.multiply(zr[1], v[2], out=rc)
         np.tanh(c, out=c)
-        if keep:
-            for a, v in zip(kept, (h, zr, c, u[:, 2 * n :]), strict=True):
-                a[t] = v
         new = np.subtract(h, c, out=out[t])
-        new *= z
+        new *= zr[0]
         new += c
         h = new
-    return out, h, kept
+    if not keep:
+        return out, h, []
+    before = np.concatenate([start[None], out[:-1]])
+    before[fresh] = 0
+    return out, h, [before, zrc, u[:, 2]]
 
 
 def _output(m: Model, s: np.ndarray, target: np.ndarray, weight: np.float32 | None):
     """Log probability of each target; with ``weight`` also gradients of -weight * sum(log p)."""
     cls = np.where(target < m.words, target // m.width, m.classes)
-    rows, logp = np.arange(len(s)), np.empty(len(s), np.float32)
-    g, ds = {}, None
+    order = _order(cls, m.classes)
+    cls, target = cls[order], target[order]
+    bound = np.searchsorted(cls, np.arange(m.classes + 1))
+    inside = target[: bound[-1]] % m.width
+    n = HIDDEN
+    own = np.ones((len(s), n + 1), np.float32)
+    own[:, :n] = s.take(order, axis=0)
+    C, W = np.concatenate([m.p["C"], m.p["c"][None]]), np.concatenate([m.p["W"], m.p["w"][:, None]], axis=1)
+    gC = gW = ds = None
     if weight is not None:
-        g = {k: np.zeros_like(m.p[k]) for k in ("C", "c", "W", "w")}
-        ds = np.empty_like(s)
-        back = np.ascontiguousarray(m.p["C"].T)
-    for lo in range(0, len(s), OUTPUT_ROWS):  # so many rows at once stay in the cache
-        own, k = s[lo : lo + OUTPUT_ROWS], cls[lo : lo + OUTPUT_ROWS]
-        at = rows[: len(own)]
-        x = own @ m.p["C"]
-        x += m.p["c"]
-        e, total = _exponentials(x)
-        logp[lo : lo + OUTPUT_ROWS] = x[at, k] - np.log(total)
-        if weight is not None:
-            e *= (weight / total)[:, None]
-            e[at, k] -= weight
-            g["C"] += own.T @ e
-            g["c"] += e.sum(0)
-            ds[lo : lo + OUTPUT_ROWS] = e @ back
-    order = np.argsort(cls, kind="stable")
-    bound = np.searchsorted(cls[order], np.arange(m.classes + 1))
-    inside = target[order[: bound[-1]]] % m.width
+        gC, gW, ds = np.zeros_like(C), np.zeros_like(W), np.zeros_like(s)
+    logp = _softmax(own, C, _in_range(C), cls, np.empty((OUTPUT_ROWS, C.shape[1]), np.float32), weight, gC, ds)
+    room, fits = np.empty((OUTPUT_ROWS, m.width), np.float32), _in_range(W)
     for k in np.flatnonzero(np.diff(bound)):
-        i, j = order[bound[k] : bound[k + 1]], inside[bound[k] : bound[k + 1]]
-        own, at = s[i], rows[: len(i)]
-        x = own @ m.p["W"][k]
-        x += m.p["w"][k]
-        e, total = _exponentials(x)
-        logp[i] += x[at, j] - np.log(total)
-        if weight is not None:
-            e *= (weight / total)[:, None]
-            e[at, j] -= weight
-            g["W"][k] = own.T @ e
-            g["w"][k] = e.sum(0)
-            ds[i] += e @ m.p["W"][k].T
-    return logp.astype(np.float64), g, ds
+        at = slice(bound[k], bound[k + 1])
+        logp[at] += _softmax(own[at], W[k], fits[k], inside[at], room, weight, *((None, None) if weight is None else (gW[k], ds[at])))
+    back = np.empty(len(s), np.float64)
+    back[order] = logp
+    if weight is None:
+        return back, {}, None
+    unsorted = np.empty_like(ds)
+    unsorted[order] = ds
+    return back, {"C": gC[:n], "c": gC[n], "W": gW[:, :n], "w": gW[:, n]}, unsorted
 
 
 def _backward(m: Model, kept: list, ds: np.ndarray, prev: np.ndarray, fresh: np.ndarray, g: dict[str, np.ndarray]) -> np.ndarray:
     U, n = m.p["U"], HIDDEN
-    h, zr, c, un = kept
-    z, r = zr[:, :, :n], zr[:, :, n:]
+    h, zrc, un = kept
+    z, r, c = zrc[:, 0], zrc[:, 1], zrc[:, 2]
     # what does not depend on later steps, for the whole window at once
     to_c, to_z, to_r = (1 - z) * (1 - c * c), (h - c) * z * (1 - z), un * r * (1 - r)
     du = np.empty((*prev.shape, 3 * n), np.float32)
@@ -195,10 +227,11 @@ def _backward(m: Model, kept: list, ds: np.ndarray, prev: np.ndarray, fresh: np.
     g["U"] = h.reshape(-1, n).T @ flat
     flat[:, 2 * n :] = dc.reshape(-1, n)  # what the inputs get
     tok = prev.ravel()
-    order = np.argsort(tok, kind="stable")
-    seen, first = np.unique(tok[order], return_index=True)
-    g["X"] = np.add.reduceat(flat[order], first, axis=0)
-    return seen
+    order = _order(tok, len(m.p["X"]))
+    tok = tok[order]
+    first = np.flatnonzero(np.append(True, tok[1:] != tok[:-1]))
+    g["X"] = np.add.reduceat(flat.take(order, axis=0), first, axis=0)
+    return tok[first]
 
 
 def run(m: Model, tokens: np.ndarray, starts: np.ndarray, lengths: np.ndarray, end: int, rate: float = 0.0) -> np.ndarray:

@@ -42,6 +42,16 @@ END = np.uint64(0x9D39247E33776D41)
 AVERAGES = 16
 
 
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique(h, return_inverse=True), by hashing: only distinct values are sorted."""
+    coded = pa.array(h).dictionary_encode()
+    seen, at = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+    order = np.argsort(seen)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return seen[order], place[at]
+
+
 def _chunks(docs: DataFrame) -> DataFrame:
     """chunk, docs, doc_ids, valid, held, lengths, tokens (local word numbers), words (hashes), counts (training)."""
 
@@ -53,7 +63,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
         def close():
             h, length = np.concatenate(hashes), np.concatenate(lengths)
             out = np.concatenate([pa_.to_numpy(zero_copy_only=False) for pa_ in held]).astype(bool)
-            seen, local = np.unique(h, return_inverse=True)
+            seen, local = _distinct(h)
             train = np.repeat(~out, length)
             counts = np.bincount(local[train], minlength=len(seen))
             col = pa.chunked_array(ids).combine_chunks()
@@ -107,7 +117,7 @@ def _totals(parts: DataFrame) -> DataFrame:
         def rows(key, held):
             words = [np.frombuffer(w, "<u8") for _, w, _ in held]
             counts = [np.frombuffer(n, "<u2" if len(n) < len(w) else "<i8") for _, w, n in held]
-            seen, at = np.unique(np.concatenate(words), return_inverse=True)
+            seen, at = _distinct(np.concatenate(words))
             total = np.bincount(at, weights=np.concatenate(counts), minlength=len(seen)).astype("<i8")
             known = total > 0
             out = [(None, seen[known].astype("<u8").tobytes(), total[known].tobytes())]

@@ -276,6 +276,43 @@ def test_each_training_document_is_learnt_from_once(spark, monkeypatch):
     assert lm.score(docs, F.lit(False), rounds=3).count() == 50 and took == [(0, 3), (1, 3), (2, 3)]
 
 
+def test_softmax_without_a_pass_for_the_largest(monkeypatch):
+    """Log probabilities and gradients against float64, with logits that exp takes as they are and with some that it does not."""
+    r = np.random.default_rng(3)
+    monkeypatch.setattr(lm.gru, "OUTPUT_ROWS", 16)
+    for bias, fits in ((0.0, True), (300.0, False)):
+        m = lm.gru.Model.unigram(np.full(38, 1 / 38))
+        for k in ("C", "W", "c", "w"):
+            m.p[k] += r.normal(0, 0.5, m.p[k].shape).astype(np.float32)
+        m.p["c"][2] += bias
+        m.p["w"][1] -= bias
+        s, target = r.uniform(-1, 1, (90, lm.gru.HIDDEN)).astype(np.float32), r.integers(0, 38, 90)
+        assert bool(lm.gru._in_range(np.concatenate([m.p["C"], m.p["c"][None]]))) is fits
+        logp, g, ds = lm.gru._output(m, s, target, np.float32(0.5))
+        want, wg, wds = np.zeros(90), {k: np.zeros(m.p[k].shape) for k in ("C", "c", "W", "w")}, np.zeros(s.shape)
+        for i, t in enumerate(target):
+            k = t // m.width if t < m.words else m.classes
+            for C, c, at, gC, gc in [(m.p["C"], m.p["c"], k, wg["C"], wg["c"]), *([(m.p["W"][k], m.p["w"][k], t % m.width, wg["W"][k], wg["w"][k])] if t < m.words else [])]:
+                x = s[i].astype(float) @ C + c
+                x -= x.max()
+                q = np.exp(x) / np.exp(x).sum()
+                want[i] += x[at] - np.log(np.exp(x).sum())
+                q[at] -= 1
+                gC += 0.5 * np.outer(s[i], q)
+                gc += 0.5 * q
+                wds[i] += 0.5 * C @ q
+        assert np.allclose(logp, want, rtol=1e-5, atol=1e-3) and np.allclose(ds, wds, atol=1e-3)
+        assert all(np.allclose(g[k], wg[k], atol=2e-3) for k in wg)
+
+
+def test_distinct_words():
+    r = np.random.default_rng(4)
+    for n in (0, 1, 5000):
+        h = r.integers(0, 2**64, 700, dtype=np.uint64)[r.integers(0, 700, n)]
+        for got, want in zip(lm._distinct(h), np.unique(h, return_inverse=True), strict=True):
+            assert got.dtype == want.dtype and (got == want).all()
+
+
 # --- decontamination ----------------------------------------------------------------
 
 
